@@ -1,7 +1,63 @@
-"""Stub until the stages stand."""
-STAGES = []
+"""From documents to token ids in five stages; part of the subpackage llm.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomrank.llm import bpe, langid, linededup, minhash, mix
+from loomrank.llm.common import release, written
+
+#: Documents whose language is less certain go.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without text or letters, and those whose likeliest language has a probability under LEAST_SCORE."""
+    told = langid.identify(docs, langid.train(docs))
+    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later repeated runs of lines, and documents that have lost all their words by it; n_chars follows the text."""
+    got = linededup.dedup_lines(docs, counts=True).withColumn("n_chars", F.length("text").cast("long"))
+    return got.where("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").select(docs.columns)
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each group of near copies (five words, 0.8)."""
+    near = minhash.near_duplicates(docs)
+    keep = near.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id")
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["id"]), "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes every document as often as the mixture to the sources' weights says."""
+    return mix.emit(mix.mix(docs, mix.word_count(F.col("text")))).select(docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and whether they decode to it."""
+    got = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.default_path(), check="round_trips")
+    return got.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids", "round_trips")
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("minhash_dedup", minhash_dedup), ("mix_sources", mix_sources), ("tokenize", tokenize)]
+
+#: Not expressible in SQL: the classifier and the token ids.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            release(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -180,24 +180,30 @@ def _encoded(c: Codec, column: pa.Array) -> Iterator[np.ndarray]:
             yield c.encode(text, (cuts[low[i] : high[i]] - a).tolist())
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", check: str | None = None) -> DataFrame:
     """Adds column `out`, the array of ids of the whole text; null text encodes as empty.
 
+    With `check`, a column of that name tells whether the decoded ids are the text again.
+
     A map over partitions: no shuffle, state bounded by MEMO_BYTES a worker. A column named `out`
     is replaced; all others pass through, repeated rows included. The vocabulary file's path must
     be readable on the executors.
     """
-    docs = docs.drop(out)
+    more = {out: "array<int>"} | ({check: "boolean"} if check else {})
+    docs = docs.drop(*more)
     at = docs.columns.index(text)
 
     def run(batches):
         c = codec(path)
         for batch in batches:
             for part in pieces(batch, at):
-                ids = pa.array(list(_encoded(c, part.column(at))), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, out])
+                ids = list(_encoded(c, part.column(at)))
+                new = [pa.array(ids, pa.list_(pa.int32()))]
+                if check:
+                    new.append(pa.array([c.decode(x) == (t.as_py() or "") for x, t in zip(ids, part.column(at))], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *more])
 
-    return docs.mapInArrow(run, widened(docs, **{out: "array<int>"}))
+    return docs.mapInArrow(run, widened(docs, **more))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 U64 = np.uint64
@@ -46,6 +48,17 @@ def widened(df: DataFrame, **columns: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(c, T.DataType.fromDDL(kind)) for c, kind in columns.items())])
 
 
+def row_key(text: str):
+    """Hash of a text that, with its id, names a document; rows equal in both are one document."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(df: DataFrame) -> None:
     """Deletes what written() wrote; only for tables that nothing lazy reads any more."""
     spark, path = df.sparkSession, df._scratch
@@ -167,5 +180,5 @@ def shingles(h: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     x = size.astype(U64) * U64(0xA0761D6478BD642F)
     padded = np.concatenate([h, np.zeros(k, U64)])
     for j in range(k):
-        x = x + np.where(size > j, mix64(padded[at + j] + U64(j + 1) * U64(0xE7037ED1A0B428DB)), U64(0))
+        x = x + np.where(size > j, mix64(padded[at + j] + U64((j + 1) * 0xE7037ED1A0B428DB & (1 << 64) - 1)), U64(0))
     return mix64(x), soff

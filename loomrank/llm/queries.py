@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, maxscore, mix
+from . import ann, bpe, chat, langid, linededup, maxscore, minhash, mix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, part=85)
+    return near.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2n and 2n + 1 are the chosen and the rejected side of pair n."""
     got = chat.preference(_table(spark, sf_dir, "conversations"), F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 != 0)
@@ -33,6 +38,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumns({c: shown(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return got.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -53,5 +63,20 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM
   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
 """
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_mix": op3_mix, "op4_topk": op4_topk, "op6_chat": op6_chat, "op8_ann": op8_ann, "op9_langid": op9_langid}
-ORACLE = {"op3_mix": mix.mix_sql(), "op4_topk": OP4_SQL, "op6_chat": chat.PREFERENCE_SQL}
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g FROM d),
+c AS (SELECT md5(array_to_string(g, chr(10))) AS cls, min(doc_id) AS rep, any_value(g) AS g FROM s WHERE len(g) > 0 GROUP BY 1),
+x AS (SELECT rep, len(g) AS n, unnest(g) AS gram FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.gram = b.gram AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+      GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(v, root) AS (SELECT rep, rep FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.v),
+m AS (SELECT v, min(root) AS root FROM r GROUP BY v)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(m.root, s.doc_id) AS component_id, coalesce(m.root, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON len(s.g) > 0 AND md5(array_to_string(s.g, chr(10))) = c.cls LEFT JOIN m ON m.v = c.rep
+"""
+
+QUERIES = {"op2_bpe": op2_bpe, "op3_mix": op3_mix, "op4_topk": op4_topk, "op5_minhash": op5_minhash, "op6_chat": op6_chat, "op7_lines": op7_lines, "op8_ann": op8_ann, "op9_langid": op9_langid}
+ORACLE = {"op3_mix": mix.mix_sql(), "op4_topk": OP4_SQL, "op5_minhash": OP5_SQL, "op6_chat": chat.PREFERENCE_SQL, "op7_lines": linededup.lines_sql()}
