@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, linededup, maxscore, minhash, mix
+from . import ann, bpe, chat, langid, linededup, maxscore, minhash, mix, sufdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = sufdedup.dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), bpe.default_path())
 
@@ -78,5 +83,5 @@ SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(m.root, s.doc_id) AS c
 FROM s LEFT JOIN c ON len(s.g) > 0 AND md5(array_to_string(s.g, chr(10))) = c.cls LEFT JOIN m ON m.v = c.rep
 """
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_mix": op3_mix, "op4_topk": op4_topk, "op5_minhash": op5_minhash, "op6_chat": op6_chat, "op7_lines": op7_lines, "op8_ann": op8_ann, "op9_langid": op9_langid}
+QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_mix": op3_mix, "op4_topk": op4_topk, "op5_minhash": op5_minhash, "op6_chat": op6_chat, "op7_lines": op7_lines, "op8_ann": op8_ann, "op9_langid": op9_langid}
 ORACLE = {"op3_mix": mix.mix_sql(), "op4_topk": OP4_SQL, "op5_minhash": OP5_SQL, "op6_chat": chat.PREFERENCE_SQL, "op7_lines": linededup.lines_sql()}
