@@ -1,13 +1,15 @@
 """Near-duplicate documents: HyperMinHash registers, banding, corrected estimates, verification on full sets.
 
-1. A document's set is its distinct k-word shingles; its registers keep, for each of 128 buckets of
+1. A document's set is its distinct k-word shingles; its registers keep, for each of 256 buckets of
    hashes, the leading zeros and 10 more bits of the smallest. Documents of equal sets form a class.
-2. Bands of 4 registers make buckets of classes. In each bucket every class is paired with the
-   bucket's first and last; surviving pairs by estimate are verified on the texts, and components
+2. 32 bands of 4 registers deal classes to groups. In each group every class is paired with the
+   group's first and last; pairs that survive by estimate are verified on the texts, and components
    of verified links are found.
-3. Buckets that still hold several components have all their pairs between different components
-   estimated and, where these survive, verified. Links inside a component add nothing to it, so
-   after this no pair that shares a bucket can change the components.
+3. Groups that still hold several components are compared in full, but only between components:
+   blocks of at most BLOCK classes meet in pairs, a task looks at short sketches of two blocks and
+   gives out only pairs that may be similar enough; those are estimated on all registers and then
+   verified. Links inside a component add nothing to it, so after this no pair that shares a band
+   can change the components.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, pieces, release, shingles, text_bytes, words, written
+from .common import U64, mix64, pieces, release, shingles, text_bytes, tidy, words, written
 from .components import components
 
-BUCKET_BITS, MANTISSA_BITS, ROWS = 7, 10, 4
+BUCKET_BITS, MANTISSA_BITS, BANDS, ROWS = 8, 10, 32, 4
 BUCKETS = 1 << BUCKET_BITS
 EMPTY = np.uint16(0xFFFF)
 #: Chance that two different minima of a bucket leave the same register, for sets far larger than the buckets (HyperMinHash paper).
 COLLISION = 0.16992 / (1 << MANTISSA_BITS)
-SIGMAS = 5.0
+SIGMAS, SLACK = 5.0, 0.02
+SHORT = 128  # registers of a short sketch, 4 bits each
+BLOCK = 512
 
 
 def sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,22 +74,36 @@ def registers(s: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def bands(regs: np.ndarray) -> np.ndarray:
-    """Hashes of the bands, sets x (BUCKETS / ROWS); an empty bucket stands in for by the next filled one and its distance."""
-    n = len(regs)
+    """Hashes of the bands, sets x BANDS; an empty bucket stands in for by the next filled one and its distance."""
+    n, many = len(regs), BANDS * ROWS
     filled = np.concatenate([regs, regs], axis=1) != EMPTY
     at = np.where(filled, np.arange(2 * BUCKETS), 4 * BUCKETS)
-    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BUCKETS]
-    value = regs[np.arange(n)[:, None], at % BUCKETS].astype(U64) | ((at - np.arange(BUCKETS)).astype(U64) << U64(16))
-    value = mix64(value + (np.arange(BUCKETS, dtype=U64) << U64(40))).reshape(n, -1, ROWS).sum(axis=2, dtype=U64)
-    return mix64(value + np.arange(BUCKETS // ROWS, dtype=U64))
+    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :many]
+    value = regs[np.arange(n)[:, None], at % BUCKETS].astype(U64) | ((at - np.arange(many)).astype(U64) << U64(16))
+    value = mix64(value + (np.arange(many, dtype=U64) << U64(40))).reshape(n, -1, ROWS).sum(axis=2, dtype=U64)
+    return mix64(value + np.arange(BANDS, dtype=U64))
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates of rows of registers, corrected for registers that agree by chance, and how many buckets they rest on."""
-    used = (a != EMPTY) | (b != EMPTY)
-    n = np.maximum(used.sum(axis=1), 1)
-    share = ((a == b) & used).sum(axis=1) / n
-    return np.clip((share - COLLISION) / (1 - COLLISION), 0, 1), n
+def short(regs: np.ndarray) -> np.ndarray:
+    """Sets x SHORT: 1 to 15 of a register, 0 for an empty one."""
+    r = regs[:, :: BUCKETS // SHORT]
+    return np.where(r == EMPTY, 0, 1 + mix64(r.astype(U64)) % U64(15)).astype(np.uint8)
+
+
+def least_share(used: np.ndarray, size: np.ndarray, least: float, chance: float) -> np.ndarray:
+    """The share of equal registers under which a pair of Jaccard similarity `least` lies with a chance of SIGMAS deviations.
+
+    Registers are a sample without replacement of the union, of which `size` is the sum of both sets.
+    """
+    whole = np.maximum(size / (1 + least), used)
+    p = least + (1 - least) * chance
+    return p - SLACK - SIGMAS * np.sqrt(p * (1 - p) / used * np.maximum((whole - used) / np.maximum(whole - 1, 1), chance))
+
+
+def compare(a: np.ndarray, b: np.ndarray, empty: int) -> tuple[np.ndarray, np.ndarray]:
+    """Share of equal registers of two rows each, and how many are filled on either side."""
+    used = np.maximum(((a != empty) | (b != empty)).sum(axis=1), 1)
+    return ((a == b) & (a != empty)).sum(axis=1) / used, used
 
 
 def sketch(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -115,18 +133,75 @@ def _banded(classed: DataFrame) -> DataFrame:
     return classed.select("cls", "regs").mapInArrow(run, "band long, cls binary")
 
 
+def _shortened(classed: DataFrame) -> DataFrame:
+    """(cls, n, short sketch)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x = short(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(part.num_rows, BUCKETS))
+                packed = (x[:, ::2] << 4) | x[:, 1::2]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([p.tobytes() for p in packed], pa.binary())], names=["cls", "n", "sk"])
+
+    return classed.select("cls", "n", "regs").mapInArrow(run, "cls binary, n long, sk binary")
+
+
+def _pairs_of_groups(batches, part: int, whole: int):
+    """Rows (band, i, j, side, root, n, cls, sk) in order of (band, i, j) -> pairs (a, b) between different roots whose short sketches don't rule them out."""
+    import pandas as pd
+
+    def flush(x: pd.DataFrame):
+        sk = np.frombuffer(b"".join(x["sk"]), np.uint8).reshape(len(x), SHORT // 2)
+        regs = np.stack([sk >> 4, sk & 15], axis=2).reshape(len(x), SHORT)
+        group = (x[["band", "i", "j"]].ne(x[["band", "i", "j"]].shift())).any(axis=1).to_numpy()
+        ends = np.append(np.flatnonzero(group)[1:], len(x))
+        end = ends[np.cumsum(group) - 1]
+        many = end - np.arange(len(x)) - 1
+        root, n, side = pd.factorize(x["root"])[0], x["n"].to_numpy(), x["side"].to_numpy()
+        own = (x["i"] == x["j"]).to_numpy()
+        cls = x["cls"].to_numpy()
+        begin = 0
+        total = np.cumsum(many)
+        while begin < len(x):
+            stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + 300_000, "right")))
+            count = many[begin:stop]
+            p = np.repeat(np.arange(begin, stop), count)
+            q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
+            ok = (root[p] != root[q]) & (whole * np.minimum(n[p], n[q]) >= part * np.maximum(n[p], n[q])) & (own[p] | (side[p] != side[q]))
+            p, q = p[ok], q[ok]
+            share, used = compare(regs[p], regs[q], 0)
+            ok = share >= least_share(used, n[p] + n[q], part / whole, 1 / 15)
+            a, b = cls[p[ok]], cls[q[ok]]
+            swap = a > b
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a), pa.binary()), pa.array(np.where(swap, a, b), pa.binary())], names=["a", "b"])
+            begin = stop
+
+    held = None
+    for batch in batches:
+        x = batch.to_pandas()
+        x = x if held is None else pd.concat([held, x], ignore_index=True)
+        last = x.iloc[-1]
+        open_ = ((x["band"] == last["band"]) & (x["i"] == last["i"]) & (x["j"] == last["j"])).to_numpy()
+        held = x[open_].reset_index(drop=True)
+        if not open_.all():
+            yield from flush(x[~open_].reset_index(drop=True))
+    if held is not None and len(held):
+        yield from flush(held)
+
+
 def _plausible(pairs: DataFrame, classed: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose estimate doesn't lie SIGMAS deviations under `least`."""
-    regs = lambda c: classed.select(F.col("cls").alias(c), F.col("regs").alias(f"r{c}"))
+    """Pairs (a, b) that their registers, corrected for those that agree by chance, don't rule out."""
+    side = lambda c: classed.select(F.col("cls").alias(c), F.col("regs").alias(f"r{c}"), F.col("n").alias(f"n{c}"))
 
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, BUCKETS) for i in (2, 3))
-            got, n = estimate(x, y)
-            keep = pa.array(got >= least - SIGMAS * np.sqrt(least * (1 - least) / n))
-            yield batch.select(["a", "b"]).filter(keep)
+            share, used = compare(x, y, EMPTY)
+            keep = share >= least_share(used, batch.column(4).to_numpy() + batch.column(5).to_numpy(), least, COLLISION)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    joined = pairs.join(regs("a"), "a").join(regs("b"), "b").select("a", "b", "ra", "rb")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb")
     return joined.mapInArrow(run, "a binary, b binary")
 
 
@@ -173,33 +248,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 10
     A null id counts as smaller than any other. Repeated rows are linked with each other, as equal
     sets are. Ids need not be unique. An empty table gives no rows; extra columns are ignored.
     """
-    all_docs = written(sketch(docs, k, key, text))
-    classed = written(all_docs.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.first("regs").alias("regs")))
+    sketched = written(sketch(docs, k, key, text))
+    classed = written(sketched.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")))
+    all_docs = written(sketched.select("id", "n_shingles", "cls"))
+    release(sketched)
+    tidy(docs.sparkSession)
     banded = _banded(classed)
     shared = written(banded.groupBy("band").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high"))
     members = written(banded.join(shared, "band"))
-    tried = written(_plausible(members.select(F.col("cls").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
-                               .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classed, part / whole))
+    release(shared)
+    tidy(docs.sparkSession)
+    near = members.select(F.col("cls").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = written(_plausible(near, classed, part / whole))
     links = _verified(tried, docs, classed, k, part, whole, key, text)
     roots = written(components(links).withColumnRenamed("v", "cls"))
 
-    inside = members.select("band", "cls").join(roots, "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
-    counted = inside.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main"))
-    mixed = written(inside.join(counted.where("parts > 1").select("band", "main"), "band"))
-    release(shared)
-    few = mixed.where("root <> main").select("band", F.col("cls").alias("a"), F.col("root").alias("ra"))
-    cross = few.join(mixed.select("band", F.col("cls").alias("b"), F.col("root").alias("rb"), "main"), "band").where("ra <> rb AND (rb = main OR a < b)")
-    rest = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(written(_plausible(rest, classed, part / whole)), docs, classed, k, part, whole, key, text)
+    inside = written(members.select("band", "cls").join(roots, "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root")))
     release(members)
-    release(mixed)
+    tidy(docs.sparkSession)
+    counted = written(inside.groupBy("band").agg(F.count("*").alias("many"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")))
+    mixed = inside.join(counted, "band").join(_shortened(classed), "cls")
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    met = mixed.withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = met.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "root", "n", "cls", "sk")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = dealt.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    rest = dealt.mapInArrow(lambda b: _pairs_of_groups(b, part, whole), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti")
+    left = written(_plausible(rest, classed, part / whole))
+    for x in (inside, counted, tried):
+        release(x)
+    tidy(docs.sparkSession)
+    more = _verified(left, docs, classed, k, part, whole, key, text)
     final = roots
     if not more.isEmpty():
         final = written(components(links.union(more)).withColumnRenamed("v", "cls"))
+    tidy(docs.sparkSession)
     grouped = classed.select("cls", "id").join(final, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = written(grouped.groupBy("root").agg(F.min("id").alias("component_id")))
     named = written(grouped.join(least, "root").select("cls", "component_id"))
-    release(least)
+    for x in (least, classed, left, links, more):
+        release(x)
+    tidy(docs.sparkSession)
     null = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c))
     told = all_docs.select("id", "n_shingles", "cls").join(named, "cls", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return told.select(null("id").alias("id"), "n_shingles", null("component_id").alias("component_id"))
