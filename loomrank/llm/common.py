@@ -53,6 +53,11 @@ def row_key(text: str):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the corpus: a sorted merge at every size, whose partitions Spark can split where a key is hot, and never a broadcast."""
+    return df.hint("merge")
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete the files of shuffles that nothing refers to any more; it does so when the driver collects garbage."""
     gc.collect()

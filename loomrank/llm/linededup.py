@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, U64, mix64, pieces, prefix_hash, row_key, span_hash, text_bytes, tidy, written
+from .common import _SPACE, U64, merged, mix64, pieces, prefix_hash, row_key, span_hash, text_bytes, tidy, written
 
 RUN = 2
 
@@ -66,10 +66,10 @@ def repeated(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "
 
     cuts = written(rows.mapInArrow(cut, "mark long, whole long, id long, th long, held array<int>"))
     marks = written(cuts.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
-    near = cuts.join(marks, "mark")
+    near = cuts.join(merged(marks), "mark")
     place = F.struct("id", "th", F.col("held")[0].alias("line"))
     first = written(near.groupBy("mark", "whole").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = near.join(first, ["mark", "whole"]).where(~place.eqNullSafe(F.col("first")))
+    later = near.join(merged(first), ["mark", "whole"]).where(~place.eqNullSafe(F.col("first")))
     gone = written(later.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("gone")))
     tidy(docs.sparkSession)
     return gone
@@ -88,7 +88,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str
     """
     gone = repeated(docs, run, key, text)
     mine = docs.withColumns({"_id": F.col(key).cast("long"), "_th": row_key(text)})
-    x = mine.join(gone.withColumnsRenamed({"id": "_gid", "th": "_gth", "gone": "_gone"}), F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
+    x = mine.join(merged(gone.withColumnsRenamed({"id": "_gid", "th": "_gth", "gone": "_gone"})), F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
     split = F.split(F.col(text), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
     kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
