@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomrank.llm import bpe, langid, linededup, minhash, mix
-from loomrank.llm.common import release, written
+from loomrank.llm.common import merged, release, written
 
 #: Documents whose language is less certain go.
 LEAST_SCORE = 0.5
@@ -32,7 +32,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keeps the document of the smallest id of each group of near copies (five words, 0.8)."""
     near = minhash.near_duplicates(docs)
     keep = near.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["id"]), "left_semi")
+    return docs.join(merged(keep), docs["doc_id"].eqNullSafe(keep["id"]), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

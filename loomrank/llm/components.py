@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import merged, release, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,10 +19,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
-        hooked = written(labels.join(near, "v").select("v", "root", F.least("root", "near").alias("to")))
+        near = both.join(merged(labels.withColumnRenamed("v", "b")), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
+        hooked = written(labels.join(merged(near), "v").select("v", "root", F.least("root", "near").alias("to")))
         jump = hooked.select(F.col("v").alias("to"), F.col("to").alias("further"))
-        moved = written(hooked.join(jump, "to").select("v", F.least("to", "further").alias("root"), (F.least("to", "further") != F.col("root")).alias("moved")))
+        moved = written(hooked.join(merged(jump), "to").select("v", F.least("to", "further").alias("root"), (F.least("to", "further") != F.col("root")).alias("moved")))
         release(hooked)
         done = moved.where("moved").isEmpty()
         release(labels)

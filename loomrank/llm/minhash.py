@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, pieces, release, shingles, text_bytes, tidy, words, written
+from .common import U64, merged, mix64, pieces, release, shingles, text_bytes, tidy, words, written
 from .components import components
 
 BUCKET_BITS, MANTISSA_BITS, BANDS, ROWS = 8, 10, 32, 4
@@ -201,14 +201,14 @@ def _plausible(pairs: DataFrame, classed: DataFrame, least: float) -> DataFrame:
             keep = share >= least_share(used, batch.column(4).to_numpy() + batch.column(5).to_numpy(), least, COLLISION)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb")
+    joined = pairs.join(merged(side("a")), "a").join(merged(side("b")), "b").select("a", "b", "ra", "rb", "na", "nb")
     return joined.mapInArrow(run, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classed: DataFrame, k: int, part: int, whole: int, key: str, text: str) -> DataFrame:
     """Pairs whose sets, made anew from the texts, have whole * intersection >= part * union."""
-    need = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classed.select("cls", "id"), "cls").select("id").distinct()
-    mine = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).alias("text")).join(need, "id", "left_semi").select("text")
+    need = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(merged(classed.select("cls", "id")), "cls").select("id").distinct()
+    mine = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).alias("text")).join(merged(need), "id", "left_semi").select("text")
 
     def name(batches):
         for batch in batches:
@@ -231,7 +231,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classed: DataFrame, k: int, par
                 yield some.select(["a", "b"]).filter(pa.array(whole * both >= part * (nx + ny - both)))
 
     side = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"t{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    joined = pairs.join(merged(side("a")), "a").join(merged(side("b")), "b").select("a", "b", "ta", "tb")
     links = written(joined.mapInArrow(check, "a binary, b binary").distinct())
     release(texts)
     return links
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 10
     tidy(docs.sparkSession)
     banded = _banded(classed)
     shared = written(banded.groupBy("band").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high"))
-    members = written(banded.join(shared, "band"))
+    members = written(banded.join(merged(shared), "band"))
     release(shared)
     tidy(docs.sparkSession)
     near = members.select(F.col("cls").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -263,17 +263,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 10
     links = _verified(tried, docs, classed, k, part, whole, key, text)
     roots = written(components(links).withColumnRenamed("v", "cls"))
 
-    inside = written(members.select("band", "cls").join(roots, "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root")))
+    inside = written(members.select("band", "cls").join(merged(roots), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root")))
     release(members)
     tidy(docs.sparkSession)
     counted = written(inside.groupBy("band").agg(F.count("*").alias("many"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")))
-    mixed = inside.join(counted, "band").join(_shortened(classed), "cls")
+    mixed = inside.join(merged(counted), "band").join(merged(_shortened(classed)), "cls")
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     met = mixed.withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = met.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "root", "n", "cls", "sk")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = dealt.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-    rest = dealt.mapInArrow(lambda b: _pairs_of_groups(b, part, whole), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti")
+    rest = dealt.mapInArrow(lambda b: _pairs_of_groups(b, part, whole), "a binary, b binary").distinct().join(merged(tried), ["a", "b"], "left_anti")
     left = written(_plausible(rest, classed, part / whole))
     for x in (inside, counted, tried):
         release(x)
@@ -283,12 +283,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 10
     if not more.isEmpty():
         final = written(components(links.union(more)).withColumnRenamed("v", "cls"))
     tidy(docs.sparkSession)
-    grouped = classed.select("cls", "id").join(final, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    grouped = classed.select("cls", "id").join(merged(final), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = written(grouped.groupBy("root").agg(F.min("id").alias("component_id")))
-    named = written(grouped.join(least, "root").select("cls", "component_id"))
+    named = written(grouped.join(merged(least), "root").select("cls", "component_id"))
     for x in (least, classed, left, links, more):
         release(x)
     tidy(docs.sparkSession)
     null = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c))
-    told = all_docs.select("id", "n_shingles", "cls").join(named, "cls", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    told = all_docs.select("id", "n_shingles", "cls").join(merged(named), "cls", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return told.select(null("id").alias("id"), "n_shingles", null("component_id").alias("component_id"))

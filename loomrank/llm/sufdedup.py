@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, U64, mix64, pieces, powers, prefix_hash, release, row_key, span_hash, text_bytes, tidy, widened, written
+from .common import BYTE, U64, merged, mix64, pieces, powers, prefix_hash, release, row_key, span_hash, text_bytes, tidy, widened, written
 
 LENGTH, GRAM = 200, 32
 INDEX_BITS = 21
@@ -202,7 +202,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
 
     cuts = written(rows.mapInArrow(cut, "mark long, ctx long, id long, th long, begin int, n int, twice boolean"))
     marks = written(cuts.groupBy("mark").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("times")).where("times > 1").select("mark"))
-    found = written(cuts.drop("twice").join(marks, "mark"))
+    found = written(cuts.drop("twice").join(merged(marks), "mark"))
     for x in (cuts, marks):
         release(x)
     tidy(spark)
@@ -223,7 +223,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
                 yield pa.RecordBatch.from_arrays([flat.field("mark"), flat.field("ctx"), flat.field("copies"), flat.field("n"), pa.array(bodies, pa.binary())], names=["mark", "ctx", "copies", "n", "body"])
 
     kind = "mark long, ctx long, copies long, n int, body binary"
-    some = rows.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
+    some = rows.join(merged(wanted), F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
     bodies = written(some.select("text", "wanted").mapInArrow(take, kind))  # rows equal in id and text bring theirs again, all counted twice or more anyway
     tidy(spark)
     by_mark = bodies.groupBy("mark").agg(F.sum(F.length("body") + 1).alias("size"), F.max("copies").alias("copies"))
@@ -238,7 +238,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
     release(bodies)
     tidy(spark)
     shifted = F.flatten(F.transform(F.sequence(F.lit(0), F.size("starts") - 1, F.lit(2)), lambda i: F.array(F.get("starts", i) + F.col("begin"), F.get("starts", i + 1) + F.col("begin") + length)))
-    spans = written(found.join(starts, ["mark", "ctx"]).select("id", "th", shifted.alias("spans")).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    spans = written(found.join(merged(starts), ["mark", "ctx"]).select("id", "th", shifted.alias("spans")).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     release(found)
     release(starts)
     tidy(spark)
@@ -259,7 +259,7 @@ def _by_hash(bodies: DataFrame, length: int) -> DataFrame:
 
     strings = bodies.mapInArrow(each, "mark long, ctx long, copies long, start int, string long")
     twice = written(strings.groupBy("mark", "string").agg(F.sum("copies").alias("times")).where("times > 1").select("mark", "string"))
-    return strings.join(twice, ["mark", "string"]).groupBy("mark", "ctx").agg(F.flatten(F.collect_list(F.array("start", "start"))).alias("starts"))
+    return strings.join(merged(twice), ["mark", "string"]).groupBy("mark", "ctx").agg(F.flatten(F.collect_list(F.array("start", "start"))).alias("starts"))
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,7 +274,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
     """
     spans = repeated_spans(docs, length, key=key, text=text).withColumnsRenamed({"id": "_sid", "th": "_sth", "spans": "_spans"})
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
-    joined = docs.withColumns({"_id": F.col(key).cast("long"), "_th": row_key(text)}).join(spans, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_th") == F.col("_sth")), "left").drop("_id", "_th", "_sid", "_sth")
+    joined = docs.withColumns({"_id": F.col(key).cast("long"), "_th": row_key(text)}).join(merged(spans), F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_th") == F.col("_sth")), "left").drop("_id", "_th", "_sid", "_sth")
     at, n = joined.columns.index(text), len(docs.columns)
 
     def remove(batches):
