@@ -3,8 +3,9 @@
 1. A document's set is its distinct k-word shingles; its registers keep, for each of 256 buckets of
    hashes, the leading zeros and 10 more bits of the smallest. Documents of equal sets form a class.
 2. 32 bands of 4 registers deal classes to groups. In each group every class is paired with the
-   group's first and last; pairs that survive by estimate are verified on the texts, and components
-   of verified links are found.
+   group's centre, the class that meets most others in all its groups: an original, from which
+   copies stray in different ways, is such a one. Pairs that survive by estimate are verified on
+   the texts, and components of verified links are found.
 3. Groups that still hold several components are compared in full, but only between components:
    blocks of at most BLOCK classes meet in pairs, a task looks at short sketches of two blocks and
    gives out only pairs that may be similar enough; those are estimated on all registers and then
@@ -27,8 +28,8 @@ BUCKETS = 1 << BUCKET_BITS
 EMPTY = np.uint16(0xFFFF)
 #: Chance that two different minima of a bucket leave the same register, for sets far larger than the buckets (HyperMinHash paper).
 COLLISION = 0.16992 / (1 << MANTISSA_BITS)
-SIGMAS, SLACK = 5.0, 0.02
-SHORT = 128  # registers of a short sketch, 4 bits each
+SIGMAS, SLACK = 4.0, 0.01
+SHORT = 256  # registers of a short sketch, 4 bits each
 BLOCK = 512
 
 
@@ -134,26 +135,29 @@ def _banded(classed: DataFrame) -> DataFrame:
 
 
 def _shortened(classed: DataFrame) -> DataFrame:
-    """(cls, n, short sketch)."""
+    """(cls, n, short sketch, 32 bits of each band's hash)."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                x = short(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(part.num_rows, BUCKETS))
+                regs = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(part.num_rows, BUCKETS)
+                x, keys = short(regs), (bands(regs) >> U64(32)).astype(np.uint32)
                 packed = (x[:, ::2] << 4) | x[:, 1::2]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([p.tobytes() for p in packed], pa.binary())], names=["cls", "n", "sk"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array([p.tobytes() for p in keys], pa.binary())], names=["cls", "n", "sk", "keys"])
 
-    return classed.select("cls", "n", "regs").mapInArrow(run, "cls binary, n long, sk binary")
+    return classed.select("cls", "n", "regs").mapInArrow(run, "cls binary, n long, sk binary, keys binary")
 
 
 def _pairs_of_groups(batches, part: int, whole: int):
-    """Rows (band, i, j, side, root, n, cls, sk) in order of (band, i, j) -> pairs (a, b) between different roots whose short sketches don't rule them out."""
+    """Rows (band, i, j, side, root, n, cls, sk, keys) in order of (band, i, j) -> pairs (a, b) between different roots whose short sketches don't rule them out, each in the first band that it shares."""
     import pandas as pd
 
     def flush(x: pd.DataFrame):
         sk = np.frombuffer(b"".join(x["sk"]), np.uint8).reshape(len(x), SHORT // 2)
         regs = np.stack([sk >> 4, sk & 15], axis=2).reshape(len(x), SHORT)
+        keys = np.frombuffer(b"".join(x["keys"]), np.uint32).reshape(len(x), BANDS)
+        mine = (x["band"].to_numpy().view(np.uint64) >> U64(32)).astype(np.uint32)
         group = (x[["band", "i", "j"]].ne(x[["band", "i", "j"]].shift())).any(axis=1).to_numpy()
         ends = np.append(np.flatnonzero(group)[1:], len(x))
         end = ends[np.cumsum(group) - 1]
@@ -164,12 +168,15 @@ def _pairs_of_groups(batches, part: int, whole: int):
         begin = 0
         total = np.cumsum(many)
         while begin < len(x):
-            stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + 300_000, "right")))
+            stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + 100_000, "right")))
             count = many[begin:stop]
             p = np.repeat(np.arange(begin, stop), count)
             q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
             ok = (root[p] != root[q]) & (whole * np.minimum(n[p], n[q]) >= part * np.maximum(n[p], n[q])) & (own[p] | (side[p] != side[q]))
             p, q = p[ok], q[ok]
+            shared = keys[p] == keys[q]
+            ok = keys[p, shared.argmax(axis=1)] == mine[p]
+            p, q = p[ok], q[ok]
             share, used = compare(regs[p], regs[q], 0)
             ok = share >= least_share(used, n[p] + n[q], part / whole, 1 / 15)
             a, b = cls[p[ok]], cls[q[ok]]
@@ -254,12 +261,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 10
     release(sketched)
     tidy(docs.sparkSession)
     banded = _banded(classed)
-    shared = written(banded.groupBy("band").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high"))
+    shared = written(banded.groupBy("band").agg(F.count("*").alias("many")).where("many > 1"))
     members = written(banded.join(merged(shared), "band"))
     release(shared)
+    weight = written(members.groupBy("cls").agg(F.sum("many").alias("weight")))
+    centres = written(members.join(merged(weight), "cls").groupBy("band").agg(F.max_by("cls", F.struct("weight", "cls")).alias("centre")))
+    release(weight)
     tidy(docs.sparkSession)
-    near = members.select(F.col("cls").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = members.join(merged(centres), "band").where("cls <> centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
     tried = written(_plausible(near, classed, part / whole))
+    release(centres)
     links = _verified(tried, docs, classed, k, part, whole, key, text)
     roots = written(components(links).withColumnRenamed("v", "cls"))
 
@@ -270,7 +281,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 10
     mixed = inside.join(merged(counted), "band").join(merged(_shortened(classed)), "cls")
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     met = mixed.withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = met.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "root", "n", "cls", "sk")
+    dealt = met.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "root", "n", "cls", "sk", "keys")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = dealt.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
     rest = dealt.mapInArrow(lambda b: _pairs_of_groups(b, part, whole), "a binary, b binary").distinct().join(merged(tried), ["a", "b"], "left_anti")
