@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .shipping import ship
+
 
 def build_session(cpus: int = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A local session with the settings every operator is tested under."""
@@ -22,4 +24,6 @@ def build_session(cpus: int = 8, partitions: int = 8, memory: str = "12g") -> Sp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
+    """A table of the data folder; Python workers get the package along with the first one."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
