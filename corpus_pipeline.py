@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomrank.llm import bpe, langid, linededup, minhash, mix
 from loomrank.llm.common import merged, release, written
+from loomrank.shipping import ship
 
 #: Documents whose language is less certain go.
 LEAST_SCORE = 0.5
@@ -18,18 +19,21 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without text or letters, and those whose likeliest language has a probability under LEAST_SCORE."""
+    ship(spark)
     told = langid.identify(docs, langid.train(docs))
     return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeated runs of lines, and documents that have lost all their words by it; n_chars follows the text."""
+    ship(spark)
     got = linededup.dedup_lines(docs, counts=True).withColumn("n_chars", F.length("text").cast("long"))
     return got.where("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").select(docs.columns)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near copies (five words, 0.8)."""
+    ship(spark)
     near = minhash.near_duplicates(docs)
     keep = near.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id")
     return docs.join(merged(keep), docs["doc_id"].eqNullSafe(keep["id"]), "left_semi")
@@ -42,6 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
+    ship(spark)
     got = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.default_path(), check="round_trips")
     return got.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids", "round_trips")
 

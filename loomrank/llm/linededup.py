@@ -87,15 +87,15 @@ def dedup_lines(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str
     meet the numbers of their deleted lines.
     """
     gone = repeated(docs, run, key, text)
-    mine = docs.withColumns({"_id": F.col(key).cast("long"), "_th": row_key(text)})
-    x = mine.join(merged(gone.withColumnsRenamed({"id": "_gid", "th": "_gth", "gone": "_gone"})), F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
+    mine = docs.withColumns({"loomrank_id": F.col(key).cast("long"), "loomrank_th": row_key(text)})
+    x = mine.join(merged(gone.withColumnsRenamed({"id": "loomrank_gid", "th": "loomrank_gth", "gone": "loomrank_gone"})), F.col("loomrank_id").eqNullSafe(F.col("loomrank_gid")) & (F.col("loomrank_th") == F.col("loomrank_gth")), "left")
     split = F.split(F.col(text), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("loomrank_gone"))
+    kept = F.when(F.col("loomrank_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
     if counts:
-        x = x.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
+        x = x.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long"), "n_removed": F.coalesce(F.size("loomrank_gone"), F.lit(0)).cast("long")})
         x = x.withColumn("n_removed", F.greatest(F.col("n_removed"), F.lit(0).cast("long")))
-    return x.withColumn(out or text, kept).drop("_id", "_th", "_gid", "_gth", "_gone")
+    return x.withColumn(out or text, kept).drop("loomrank_id", "loomrank_th", "loomrank_gid", "loomrank_gth", "loomrank_gone")
 
 
 def lines_sql(run: int = RUN, table: str = "documents") -> str:

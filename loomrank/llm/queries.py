@@ -5,61 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, linededup, maxscore, minhash, mix, passages, sufdedup
-
+from loomrank.session import table
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from . import ann, bpe, chat, langid, linededup, maxscore, minhash, mix, passages, sufdedup
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = sufdedup.dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = sufdedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(_table(spark, sf_dir, "documents"), bpe.default_path())
+    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.default_path())
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     mixed = mix.mix(docs.select("doc_id", "source", mix.word_count(F.col("text")).alias("words")), F.col("words"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maxscore.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, part=85)
+    near = minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, part=85)
     return near.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2n and 2n + 1 are the chosen and the rejected side of pair n."""
-    got = chat.preference(_table(spark, sf_dir, "conversations"), F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 != 0)
+    got = chat.preference(table(spark, sf_dir, "conversations"), F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 != 0)
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["begin"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
     return got.withColumns({c: shown(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    got = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return got.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     told = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
     return told.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = passages.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = passages.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_words", "n_removed", "n_shared", "n_spans", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 

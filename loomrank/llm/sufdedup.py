@@ -272,9 +272,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
     repeated rows repeat each other. Ids need not be unique. Extra columns pass through, columns of
     the four names are replaced. An empty table gives an empty one.
     """
-    spans = repeated_spans(docs, length, key=key, text=text).withColumnsRenamed({"id": "_sid", "th": "_sth", "spans": "_spans"})
+    spans = repeated_spans(docs, length, key=key, text=text).withColumnsRenamed({"id": "loomrank_sid", "th": "loomrank_sth", "spans": "loomrank_spans"})
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
-    joined = docs.withColumns({"_id": F.col(key).cast("long"), "_th": row_key(text)}).join(merged(spans), F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_th") == F.col("_sth")), "left").drop("_id", "_th", "_sid", "_sth")
+    joined = docs.withColumns({"loomrank_id": F.col(key).cast("long"), "loomrank_th": row_key(text)}).join(merged(spans), F.col("loomrank_id").eqNullSafe(F.col("loomrank_sid")) & (F.col("loomrank_th") == F.col("loomrank_sth")), "left").drop("loomrank_id", "loomrank_th", "loomrank_sid", "loomrank_sth")
     at, n = joined.columns.index(text), len(docs.columns)
 
     def remove(batches):
