@@ -19,7 +19,7 @@ def value_shares(frame: DataFrame, column: str) -> DataFrame:
 
 def invariants(judgements: DataFrame) -> DataFrame:
     """A1: rows, distinct queries and products, share of each label."""
-    shares = [F.avg(F.when(F.col("label") == x, 1.0).otherwise(0.0)).alias(f"share_{x.lower()}") for x in "ESCI"]
+    shares = [F.avg(F.when(F.col("label") == x, 1.0).otherwise(0.0)).alias(f"share_{x.lower()}") for x in ("E", "S", "C", "I")]
     return judgements.agg(F.count("*").alias("n_rows"), F.countDistinct("query_id").alias("n_queries"), F.countDistinct("product_id").alias("n_products"), *shares)
 
 

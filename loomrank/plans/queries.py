@@ -271,7 +271,7 @@ def _(s, d):
 
 # --- aggregates ------------------------------------------------------------------
 
-@add("a1_invariants", f"WITH {v.J} SELECT count(*) AS n_rows, count(DISTINCT query_id) AS n_queries, count(DISTINCT product_id) AS n_products, " + ", ".join(f"round(avg((label = '{x}')::INT), 9) AS share_{x.lower()}" for x in "ESCI") + " FROM j")
+@add("a1_invariants", f"WITH {v.J} SELECT count(*) AS n_rows, count(DISTINCT query_id) AS n_queries, count(DISTINCT product_id) AS n_products, " + ", ".join(f"round(avg((label = '{x}')::INT), 9) AS share_{x.lower()}" for x in ("E", "S", "C", "I")) + " FROM j")
 def _(s, d):
     return agg.invariants(v.judgements(s, d)).select("n_rows", "n_queries", "n_products", *r9("share_e", "share_s", "share_c", "share_i"))
 
