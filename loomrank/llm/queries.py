@@ -61,6 +61,22 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", "n_shared", "n_spans", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS i FROM d),
+m AS (SELECT doc_id, i, md5(substr(h, (2 * i + 1)::BIGINT, 400)) AS m FROM w),
+s AS (SELECT doc_id, i FROM m WHERE m IN (SELECT m FROM m GROUP BY m HAVING count(*) > 1)),
+n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM s),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+r AS (SELECT doc_id, run, min(i) AS b, max(i) + 200 AS e FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS since FROM r),
+a AS (SELECT k.doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS until, string_agg(substr(h, (2 * since + 1)::BIGINT, (2 * (b - since))::BIGINT), '' ORDER BY b) AS kept
+      FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN until IS NULL THEN h ELSE kept || substr(h, (2 * until + 1)::BIGINT) END)) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
 OP4_SQL = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
@@ -87,4 +103,4 @@ FROM s LEFT JOIN c ON len(s.g) > 0 AND md5(array_to_string(s.g, chr(10))) = c.cl
 """
 
 QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_mix": op3_mix, "op4_topk": op4_topk, "op5_minhash": op5_minhash, "op6_chat": op6_chat, "op7_lines": op7_lines, "op8_ann": op8_ann, "op9_langid": op9_langid, "op10_passages": op10_passages}
-ORACLE = {"op3_mix": mix.mix_sql(), "op4_topk": OP4_SQL, "op5_minhash": OP5_SQL, "op6_chat": chat.PREFERENCE_SQL, "op7_lines": linededup.lines_sql()}
+ORACLE = {"op1_substrings": OP1_SQL, "op3_mix": mix.mix_sql(), "op4_topk": OP4_SQL, "op5_minhash": OP5_SQL, "op6_chat": chat.PREFERENCE_SQL, "op7_lines": linededup.lines_sql()}
