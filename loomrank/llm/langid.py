@@ -150,8 +150,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     # ids are drawn by a uniform hash; a bound on it that leaves some four times the sample of each language goes before the window, so that no task ranks a whole language
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long") / float(1 << 52)
+    # a row a language, as the model has a column for each: without a broadcast the rows themselves would be dealt by language
     many = rows.groupBy("lang").agg(F.count("*").alias("many"))
-    near = rows.select("doc_id", "lang", draw.alias("draw")).join(many, "lang").where(F.col("draw") * F.col("many") <= 4 * sample)
+    near = rows.select("doc_id", "lang", draw.alias("draw")).join(F.broadcast(many), "lang").where(F.col("draw") * F.col("many") <= 4 * sample)
     ids = near.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("nth") <= sample)
     # at most `sample` ids a language: small whatever the input
     picked = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "lang", "text")
