@@ -2,7 +2,10 @@
 
 1. A document's set is its distinct k-word shingles; its registers keep, for each of 256 buckets of
    hashes, the leading zeros and 10 more bits of the smallest. Documents of equal sets form a class.
-2. 32 bands of 4 registers deal classes to groups. In each group every class is paired with the
+2. 32 bands of 4 registers deal classes to groups. Sets of at most FEW shingles, of which bands can
+   miss similar ones, are also dealt by each shingle of their prefix: with a set's shingles in order
+   of how many small sets hold them, two similar sets share one among the first
+   n - ceil(part * n / whole) + 1 of each, so no similar pair of them is missed. In each group every class is paired with the
    group's centre, the class that meets most others in all its groups: an original, from which
    copies stray in different ways, is such a one. Pairs that survive by estimate are verified on
    the texts, and components of verified links are found.
@@ -29,6 +32,7 @@ EMPTY = np.uint16(0xFFFF)
 #: Chance that two different minima of a bucket leave the same register, for sets far larger than the buckets (HyperMinHash paper).
 COLLISION = 0.16992 / (1 << MANTISSA_BITS)
 SIGMAS, SLACK = 4.0, 0.01
+FEW = 40  # shingles of the largest set that is dealt by its prefix; a set similar to a larger one at 0.8 has 33 or more
 SHORT = 256  # registers of a short sketch, 4 bits each
 BLOCK = 512
 
@@ -107,8 +111,21 @@ def compare(a: np.ndarray, b: np.ndarray, empty: int) -> tuple[np.ndarray, np.nd
     return ((a == b) & (a != empty)).sum(axis=1) / used, used
 
 
+def possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float, chance: float, empty: int) -> np.ndarray:
+    """Pairs of rows of registers that may be similar enough; of two sets of at most FEW shingles none that is similar is ruled out.
+
+    A shingle of both sets leaves equal registers unless a smaller one hides it in either set, and
+    a set hides as many as it has more shingles than filled registers.
+    """
+    share, used = compare(a, b, empty)
+    equal = ((a == b) & (a != empty)).sum(axis=1)
+    hidden = na - (a != empty).sum(axis=1) + nb - (b != empty).sum(axis=1)
+    both = np.minimum(equal + hidden, np.minimum(na, nb))
+    return np.where(np.maximum(na, nb) <= FEW, both >= least * (na + nb - both) - 1e-9, share >= least_share(used, na + nb, least, chance))
+
+
 def sketch(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(id, n_shingles, cls, regs) of every row; cls and regs are null for a set without shingles."""
+    """(id, n_shingles, cls, regs, grams) of every row; cls and regs are null for a set without shingles, grams are empty for one of more than FEW."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).alias("text"))
 
     def run(batches):
@@ -117,9 +134,23 @@ def sketch(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                 s, off = sets(part.column(1), k)
                 cls = classes(s, off)
                 regs = [r.tobytes() if c else None for r, c in zip(registers(s, off), cls)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off), pa.int64()), pa.array(cls, pa.binary()), pa.array(regs, pa.binary())], names=["id", "n_shingles", "cls", "regs"])
+                n = np.diff(off)
+                few = np.concatenate([[0], np.cumsum(np.where(n <= FEW, n, 0))]).astype(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(few), pa.array(s[np.repeat(n <= FEW, n)].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(regs, pa.binary()), grams], names=["id", "n_shingles", "cls", "regs", "grams"])
+
+    return rows.mapInArrow(run, "id long, n_shingles long, cls binary, regs binary, grams array<long>")
+
 
-    return rows.mapInArrow(run, "id long, n_shingles long, cls binary, regs binary")
+def _prefixes(small: DataFrame, part: int, whole: int) -> DataFrame:
+    """(band, cls) for every shingle in the prefix of a set (cls, n, grams); shingles of one set alone come first and pair nothing."""
+    grams = small.select("cls", "n", F.explode("grams").alias("gram"))
+    common = written(grams.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1"))
+    held = grams.join(merged(common), "gram").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("many", "gram"))).alias("held"))
+    first = F.expr(f"slice(held, 1, greatest(size(held) + 1 - cast((n * {part} + {whole - 1}) div {whole} AS int), 0))")
+    out = written(held.select(F.explode(first).alias("x"), "cls").select(F.xxhash64("x.gram", F.lit(FEW)).alias("band"), "cls"))
+    release(common)
+    return out
 
 
 def _banded(classed: DataFrame) -> DataFrame:
@@ -150,7 +181,7 @@ def _shortened(classed: DataFrame) -> DataFrame:
 
 
 def _pairs_of_groups(batches, part: int, whole: int):
-    """Rows (band, i, j, side, root, n, cls, sk, keys) in order of (band, i, j) -> pairs (a, b) between different roots whose short sketches don't rule them out, each in the first band that it shares."""
+    """Rows (band, i, j, side, root, n, cls, sk, keys) in order of (band, i, j) -> pairs (a, b) between different roots whose short sketches don't rule them out, each in the first band that it shares or, without one, in each prefix."""
     import pandas as pd
 
     def flush(x: pd.DataFrame):
@@ -175,10 +206,9 @@ def _pairs_of_groups(batches, part: int, whole: int):
             ok = (root[p] != root[q]) & (whole * np.minimum(n[p], n[q]) >= part * np.maximum(n[p], n[q])) & (own[p] | (side[p] != side[q]))
             p, q = p[ok], q[ok]
             shared = keys[p] == keys[q]
-            ok = keys[p, shared.argmax(axis=1)] == mine[p]
+            ok = (keys[p, shared.argmax(axis=1)] == mine[p]) | ~shared.any(axis=1)  # without a common band it's a group of a prefix
             p, q = p[ok], q[ok]
-            share, used = compare(regs[p], regs[q], 0)
-            ok = share >= least_share(used, n[p] + n[q], part / whole, 1 / 15)
+            ok = possible(regs[p], regs[q], n[p], n[q], part / whole, 1 / 15, 0)
             a, b = cls[p[ok]], cls[q[ok]]
             swap = a > b
             yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a), pa.binary()), pa.array(np.where(swap, a, b), pa.binary())], names=["a", "b"])
@@ -204,8 +234,7 @@ def _plausible(pairs: DataFrame, classed: DataFrame, least: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, BUCKETS) for i in (2, 3))
-            share, used = compare(x, y, EMPTY)
-            keep = share >= least_share(used, batch.column(4).to_numpy() + batch.column(5).to_numpy(), least, COLLISION)
+            keep = possible(x, y, batch.column(4).to_numpy(), batch.column(5).to_numpy(), least, COLLISION, int(EMPTY))
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     joined = pairs.join(merged(side("a")), "a").join(merged(side("b")), "b").select("a", "b", "ra", "rb", "na", "nb")
@@ -249,21 +278,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 10
 
     Words are runs of anything but ASCII white space, A to Z lower-cased; a text of fewer than k
     words is one shingle; null texts and texts without words have none and are linked with nothing.
-    Two documents are linked if whole * intersection >= part * union on their full sets. A pair at
-    the threshold of 0.8 shares no band with a chance of 5e-8, above it less.
+    Two documents are linked if whole * intersection >= part * union on their full sets. No
+    similar pair of sets of at most FEW shingles is missed; one of sets far larger than the number
+    of buckets shares no band with a chance of 5e-8 at 0.8, above it less.
 
     A null id counts as smaller than any other. Repeated rows are linked with each other, as equal
     sets are. Ids need not be unique. An empty table gives no rows; extra columns are ignored.
     """
     sketched = written(sketch(docs, k, key, text))
-    classed = written(sketched.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")))
+    classed = written(sketched.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("grams").alias("grams")))
     all_docs = written(sketched.select("id", "n_shingles", "cls"))
     release(sketched)
     tidy(docs.sparkSession)
-    banded = _banded(classed)
+    prefixes = _prefixes(classed.where(F.col("n") <= FEW), part, whole)
+    banded = _banded(classed).union(prefixes)
     shared = written(banded.groupBy("band").agg(F.count("*").alias("many")).where("many > 1"))
     members = written(banded.join(merged(shared), "band"))
     release(shared)
+    release(prefixes)
     weight = written(members.groupBy("cls").agg(F.sum("many").alias("weight")))
     centres = written(members.join(merged(weight), "cls").groupBy("band").agg(F.max_by("cls", F.struct("weight", "cls")).alias("centre")))
     release(weight)

@@ -136,6 +136,30 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, k, part, block)
     assert got == brute(texts, k, part, 100)
 
 
+@pytest.mark.parametrize("k, part, words", [(5, 80, 9), (3, 85, 9), (5, 80, 14)])
+def test_no_pair_of_short_texts_is_missed(spark, k, part, words):
+    r = random.Random(words)
+    texts = {}
+    for i in range(0, 3000, 2):
+        w = [f"w{r.randrange(10**9)}" for _ in range(words)]
+        texts[i], texts[i + 1] = " ".join(w), " ".join(w[:-1])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.id: x.component_id for x in minhash.near_duplicates(docs, k, part).collect()}
+    assert got == {i: i - i % 2 for i in texts}
+
+
+def test_small_sets_are_never_ruled_out():
+    rng = np.random.default_rng(4)
+    for common, one, two in ((4, 1, 0), (8, 1, 1), (20, 3, 2), (32, 8, 0), (36, 4, 4)):
+        x = rng.integers(0, 2**64, (4000, common + one + two), dtype=np.uint64)
+        a, b = np.sort(x[:, : common + one], axis=1), np.sort(np.concatenate([x[:, :common], x[:, common + one :]], axis=1), axis=1)
+        ra, rb = (minhash.registers(y.reshape(-1), np.arange(4001) * y.shape[1]) for y in (a, b))
+        na, nb = np.full(4000, common + one), np.full(4000, common + two)
+        least = common / (common + one + two)
+        assert minhash.possible(ra, rb, na, nb, least, minhash.COLLISION, int(minhash.EMPTY)).all()
+        assert minhash.possible(minhash.short(ra), minhash.short(rb), na, nb, least, 1 / 15, 0).all()
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     t = " ".join(map(str, range(30)))
     docs = spark.createDataFrame([(5, t), (5, t), (None, t), (7, "other words here only")], "doc_id long, text string")
