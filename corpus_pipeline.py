@@ -15,6 +15,8 @@ from loomrank.shipping import ship
 
 #: Documents whose language is less certain go.
 LEAST_SCORE = 0.5
+#: A line of as many words, as many as a passage has, goes where it repeats alone.
+ALONE = 50
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +27,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeated runs of lines, and documents that have lost all their words by it; n_chars follows the text."""
+    """Deletes later repeated runs of lines and later repeated single lines of ALONE words, and documents that have lost all their words by it; n_chars follows the text."""
     ship(spark)
-    got = linededup.dedup_lines(docs, counts=True).withColumn("n_chars", F.length("text").cast("long"))
+    got = linededup.dedup_lines(docs, counts=True, alone=ALONE).withColumn("n_chars", F.length("text").cast("long"))
     return got.where("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").select(docs.columns)
 
 

@@ -5,7 +5,8 @@ lines the least hash (the rightmost of equals) is its fingerprint, so two places
 lines share a fingerprint at the same place in them. Windows whose fingerprint stands anywhere else
 are joined with the first place at which all their lines stand, which extends the match from the
 fingerprint to both ends of the window; windows that overlap extend each other into maximal runs.
-All but the first of each run, by (id, place), is deleted.
+All but the first of each run, by (id, place), is deleted. Where asked for, so are single lines of
+many words that repeat, whatever their neighbours are.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, U64, merged, mix64, pieces, prefix_hash, row_key, span_hash, text_bytes, tidy, written
+from .common import _SPACE, U64, merged, mix64, pieces, prefix_hash, row_key, span_hash, text_bytes, tidy, words, written
 
 RUN = 2
 
@@ -50,19 +51,34 @@ def windows(doc: np.ndarray, h: np.ndarray, run: int) -> tuple[np.ndarray, np.nd
     return at, least, whole
 
 
-def repeated(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
+def line_words(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Number of words of every line that isn't blank, in the order of lines()."""
+    begin, _, _, woff = words(data, off)
+    line = np.cumsum(data == 10)[begin] if len(begin) else begin
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(woff))
+    first = np.ones(len(begin), bool)
+    first[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
+    return np.bincount(np.cumsum(first) - 1)
+
+
+def repeated(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text", alone: int | None = None) -> DataFrame:
     """(id, hash of the text, numbers of the lines to delete) of every document that loses some."""
     rows = docs.select(F.col(key).cast("long").alias("id"), row_key(text).alias("th"), F.col(text).alias("text"))
 
     def cut(batches):
         for batch in batches:
             for part in pieces(batch, 2):
-                doc, nth, h = lines(*text_bytes(part.column(2)))
-                at, least, whole = windows(doc, h, run)
-                raw = nth[at[:, None] + np.arange(run)[None, :]].astype(np.int32)
-                held = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * run), pa.array(raw.reshape(-1)))
-                row = pa.array(doc[at])
-                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(whole.view(np.int64)), part.column(0).take(row), part.column(1).take(row), held], names=["mark", "whole", "id", "th", "held"])
+                data, off = text_bytes(part.column(2))
+                doc, nth, h = lines(data, off)
+                found = [(run, *windows(doc, h, run))]
+                if alone is not None:
+                    at = np.flatnonzero(line_words(data, off) >= alone)
+                    found.append((1, at, h[at], mix64(h[at] + U64(1))))
+                for many, at, least, whole in found:
+                    raw = nth[at[:, None] + np.arange(many)[None, :]].astype(np.int32)
+                    held = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * many), pa.array(raw.reshape(-1)))
+                    row = pa.array(doc[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(whole.view(np.int64)), part.column(0).take(row), part.column(1).take(row), held], names=["mark", "whole", "id", "th", "held"])
 
     cuts = written(rows.mapInArrow(cut, "mark long, whole long, id long, th long, held array<int>"))
     marks = written(cuts.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
@@ -75,18 +91,19 @@ def repeated(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "
     return gone
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text", out: str | None = None, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text", out: str | None = None, counts: bool = False, alone: int | None = None) -> DataFrame:
     """docs with the later of all runs of `run` or more equal lines deleted from text (or put in column `out`).
 
     Lines end at \\n and are compared without white space at their ends; blank lines are no part of
     a run and stay. What stands first is what has the smaller (id, hash of text, line); a null id is
     smallest. Rows equal in id and text are one document and are treated alike, so none takes the
     other's lines. Null and empty texts stay as they are, as do texts of fewer than `run` lines.
+    With alone, later ones of equal single lines of at least that many words go too.
     With counts, columns n_lines and n_removed are added (all lines, also blank ones; 0 for null).
     Extra columns pass through. An empty table gives an empty one. Texts are shuffled once, to
     meet the numbers of their deleted lines.
     """
-    gone = repeated(docs, run, key, text)
+    gone = repeated(docs, run, key, text, alone)
     mine = docs.withColumns({"loomrank_id": F.col(key).cast("long"), "loomrank_th": row_key(text)})
     x = mine.join(merged(gone.withColumnsRenamed({"id": "loomrank_gid", "th": "loomrank_gth", "gone": "loomrank_gone"})), F.col("loomrank_id").eqNullSafe(F.col("loomrank_gid")) & (F.col("loomrank_th") == F.col("loomrank_gth")), "left")
     split = F.split(F.col(text), "\n", -1)

@@ -10,6 +10,14 @@ from loomrank.llm.common import written
 DATA = "/root/testdata/sf0.001"
 
 
+def test_long_single_lines_go_whatever_stands_around_them(spark):
+    long, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(49))
+    texts = {1: f"a\n{long}\nb", 2: f"c\n \n  {long} \nd", 3: long, 4: f"e\n{short}\nf", 5: f"g\n{short}", 6: f"{long}\nh\n{long}", 7: None, 8: ""}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, DATA).collect()}
+    assert got == {i: t for i, t in texts.items() if i not in (2, 3, 6)} | {2: "c\n \nd", 6: "h"}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
