@@ -1,10 +1,10 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of windows of lines.
 
 A document's lines that aren't blank, trimmed, are a sequence of hashes. Of every window of `run`
-lines the least hash (the rightmost of equals) is its fingerprint, so two places that share `run`
-lines share a fingerprint at the same place in them. Windows whose fingerprint stands anywhere else
-are joined with the first place at which all their lines stand, which extends the match from the
-fingerprint to both ends of the window; windows that overlap extend each other into maximal runs.
+lines the least hash is its mark, so two places that share `run`
+lines share a mark; nearly every mark comes twice, so it filters little. Windows whose mark comes again
+are joined, by a hash of all their lines, with the first place at which these stand;
+windows that overlap extend each other into maximal runs.
 All but the first of each run, by (id, place), is deleted. Where asked for, so are single lines of
 many words that repeat, whatever their neighbours are.
 """
@@ -38,7 +38,7 @@ def lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def windows(doc: np.ndarray, h: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows of `run` lines of one text: first line, fingerprint, hash of all its lines."""
+    """Of all windows of `run` lines of one text: first line, mark, hash of all its lines."""
     n = len(h) - run + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
