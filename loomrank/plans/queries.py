@@ -221,6 +221,15 @@ def _(s, d):
     return retrieval.top1_accuracy(pool, half, 600)
 
 
+@add("j19_top1_accuracy_whole", """WITH i AS (SELECT vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings), t AS (SELECT vec_id AS k, list_transform(embedding::DOUBLE[], lambda x, n: CASE WHEN n <= 32 THEN x ELSE 0 END) AS v FROM embeddings),
+  x AS (SELECT i.k AS ik, t.k AS tk, round(list_inner_product(i.v, t.v), 9) AS s FROM i, t),
+  o AS (SELECT ik, max(s) FILTER (ik = tk) AS own, max(s) FILTER (ik <> tk) AS other FROM x GROUP BY ik) SELECT avg(CASE WHEN own >= other THEN 1.0 ELSE 0.0 END) AS top1, count(*) AS n FROM o""")
+def _(s, d):
+    images = table(s, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("embedding"))
+    half = images.withColumn("embedding", F.transform("embedding", lambda x, n: F.when(n < 32, x).otherwise(0.0)))
+    return retrieval.top1_accuracy_in_blocks(images, half)
+
+
 @add("j20_newly_over", f"""WITH {v.S}, f AS (SELECT a.query_id, a.product_id AS over, b.product_id AS under FROM s a JOIN s b USING (query_id) WHERE a.llm_rank < b.llm_rank AND a.gain < b.gain),
   g AS (SELECT a.query_id, a.product_id AS over, b.product_id AS under FROM s a JOIN s b USING (query_id) WHERE a.stage2_rank < b.stage2_rank AND a.gain < b.gain) SELECT * FROM f EXCEPT ALL SELECT * FROM g""")
 def _(s, d):

@@ -258,3 +258,17 @@ def test_aggregates(spark):
     assert one(spark, aggregates.strata(F.lit(1.0), [0, 0.5, 1.0])) == 1 and one(spark, aggregates.strata(F.lit(2.0), [0, 1.0])) is None
     few = spark.range(99).select(F.col("id").cast("double").alias("v"))
     assert aggregates.latency_profile(few, "v").first().p95 is None
+
+
+@pytest.mark.parametrize("rows", [4096, 7])
+def test_top1_accuracy_in_blocks_is_that_of_one_pool(spark, rows):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 8))
+    near = v + 0.7 * rng.normal(size=v.shape)
+    images, texts = (spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "key long, embedding array<double>") for m in (v, near))
+    got = retrieval.top1_accuracy_in_blocks(images, texts.where("key <> 3"), rows).first()
+    assert got.n == 60
+    s = np.delete(v @ near.T, 3, axis=1).max(axis=1)
+    want = [(i != 3) and (v[i] @ near[i]) >= s[i] - 1e-9 for i in range(60)]
+    assert got.top1 == pytest.approx(np.mean(want)) and 0 < got.top1 < 1
+    assert retrieval.top1_accuracy_in_blocks(images, texts, rows).first() == retrieval.top1_accuracy(images, texts, 60).first()
