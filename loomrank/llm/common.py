@@ -71,7 +71,7 @@ def release(df: DataFrame) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
     """Cuts a batch into runs of rows with about `most` bytes of text each; a longer text stands alone."""
     at = value_lengths(batch.column(column))
     begin, total = 0, 0

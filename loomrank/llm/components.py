@@ -29,4 +29,6 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved
         if done:
             release(both)
-            return labels.select("v", "root")
+            out = labels.select("v", "root")
+            out._scratch = labels._scratch  # for release()
+            return out

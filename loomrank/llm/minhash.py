@@ -2,39 +2,46 @@
 
 1. A document's set is its distinct k-word shingles; its registers keep, for each of 256 buckets of
    hashes, the leading zeros and 10 more bits of the smallest. Documents of equal sets form a class.
-2. 32 bands of 4 registers deal classes to groups. Sets of at most FEW shingles, of which bands can
-   miss similar ones, are also dealt by each shingle of their prefix: with a set's shingles in order
-   of how many small sets hold them, two similar sets share one among the first
-   n - ceil(part * n / whole) + 1 of each, so no similar pair of them is missed. In each group every class is paired with the
-   group's centre, the class that meets most others in all its groups: an original, from which
-   copies stray in different ways, is such a one. Pairs that survive by estimate are verified on
-   the texts, and components of verified links are found.
+   An empty bucket stands for a filled one that is drawn for it anew in every bucket, so that each
+   shingle of a small set owns its share of the bands and no more.
+2. 40 bands of 5 registers deal classes to groups. A group's centre is the class that meets most
+   others in all its groups: an original, from which copies stray in different ways, is such a one.
+   Every class is paired with one centre, the best-connected of those it meets; pairs that survive
+   by estimate are verified on the texts, and components of verified links are found.
 3. Groups that still hold several components are compared in full, but only between components:
-   blocks of at most BLOCK classes meet in pairs, a task looks at short sketches of two blocks and
-   gives out only pairs that may be similar enough; those are estimated on all registers and then
-   verified. Links inside a component add nothing to it, so after this no pair that shares a band
-   can change the components.
+   blocks of at most BLOCK classes meet in pairs, and a task gives out pairs that all registers
+   allow to be similar enough. Of each class the pairs most alike are verified first, FIRST of them,
+   components are joined, and groups with pairs held back come again with GROWTH times as many
+   until none is held back. Links inside a component add nothing to it, so after this no pair that
+   shares a band can change the components.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, merged, mix64, pieces, release, shingles, text_bytes, tidy, words, written
+from .common import U64, merged, mix64, pieces, release, row_key, shingles, text_bytes, tidy, words, written
 from .components import components
 
-BUCKET_BITS, MANTISSA_BITS, BANDS, ROWS = 8, 10, 32, 4
+BUCKET_BITS, MANTISSA_BITS, BANDS, ROWS = 8, 10, 40, 5
 BUCKETS = 1 << BUCKET_BITS
 EMPTY = np.uint16(0xFFFF)
 #: Chance that two different minima of a bucket leave the same register, for sets far larger than the buckets (HyperMinHash paper).
 COLLISION = 0.16992 / (1 << MANTISSA_BITS)
 SIGMAS, SLACK = 4.0, 0.01
-FEW = 40  # shingles of the largest set that is dealt by its prefix; a set similar to a larger one at 0.8 has 33 or more
-SHORT = 256  # registers of a short sketch, 4 bits each
-BLOCK = 512
+FEW = 40  # shingles of the largest set that only a strict bound rules out
+BLOCK = 2048
+AT_ONCE = 1 << 14  # pairs that a task compares at once
+FIRST, GROWTH = 4, 32
+NO_ID = -(1 << 63)
+#: For each banded bucket all buckets in an order of its own.
+DONORS = np.argsort(mix64(np.arange(BANDS * ROWS * BUCKETS, dtype=U64)).reshape(-1, BUCKETS), axis=1)
 
 
 def sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,22 +86,23 @@ def registers(s: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def bands(regs: np.ndarray) -> np.ndarray:
-    """Hashes of the bands, sets x BANDS; an empty bucket stands in for by the next filled one and its distance."""
+    """Hashes of the bands, sets x BANDS; an empty bucket takes the first filled one in its own order of all buckets."""
     n, many = len(regs), BANDS * ROWS
-    filled = np.concatenate([regs, regs], axis=1) != EMPTY
-    at = np.where(filled, np.arange(2 * BUCKETS), 4 * BUCKETS)
-    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :many]
-    value = regs[np.arange(n)[:, None], at % BUCKETS].astype(U64) | ((at - np.arange(many)).astype(U64) << U64(16))
+    filled = regs != EMPTY
+    donor = np.tile(np.arange(many), (n, 1))
+    row, col = np.nonzero(~filled[:, :many])
+    for nth in range(BUCKETS):
+        if not len(row):
+            break
+        from_ = DONORS[col, nth]
+        ok = filled[row, from_]
+        donor[row[ok], col[ok]] = from_[ok]
+        row, col = row[~ok], col[~ok]
+    value = np.take_along_axis(regs, donor, axis=1).astype(U64) | (donor.astype(U64) << U64(16))
     value = mix64(value + (np.arange(many, dtype=U64) << U64(40))).reshape(n, -1, ROWS).sum(axis=2, dtype=U64)
     return mix64(value + np.arange(BANDS, dtype=U64))
 
 
-def short(regs: np.ndarray) -> np.ndarray:
-    """Sets x SHORT: 1 to 15 of a register, 0 for an empty one."""
-    r = regs[:, :: BUCKETS // SHORT]
-    return np.where(r == EMPTY, 0, 1 + mix64(r.astype(U64)) % U64(15)).astype(np.uint8)
-
-
 def least_share(used: np.ndarray, size: np.ndarray, least: float, chance: float) -> np.ndarray:
     """The share of equal registers under which a pair of Jaccard similarity `least` lies with a chance of SIGMAS deviations.
 
@@ -105,126 +113,145 @@ def least_share(used: np.ndarray, size: np.ndarray, least: float, chance: float)
     return p - SLACK - SIGMAS * np.sqrt(p * (1 - p) / used * np.maximum((whole - used) / np.maximum(whole - 1, 1), chance))
 
 
-def compare(a: np.ndarray, b: np.ndarray, empty: int) -> tuple[np.ndarray, np.ndarray]:
-    """Share of equal registers of two rows each, and how many are filled on either side."""
-    used = np.maximum(((a != empty) | (b != empty)).sum(axis=1), 1)
-    return ((a == b) & (a != empty)).sum(axis=1) / used, used
-
-
-def possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float, chance: float, empty: int) -> np.ndarray:
-    """Pairs of rows of registers that may be similar enough; of two sets of at most FEW shingles none that is similar is ruled out.
+def possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows of registers may be similar enough, and their shares of equal registers; of two sets of at most FEW shingles none that is similar is ruled out.
 
     A shingle of both sets leaves equal registers unless a smaller one hides it in either set, and
     a set hides as many as it has more shingles than filled registers.
     """
-    share, used = compare(a, b, empty)
-    equal = ((a == b) & (a != empty)).sum(axis=1)
-    hidden = na - (a != empty).sum(axis=1) + nb - (b != empty).sum(axis=1)
+    mine, other = a != EMPTY, b != EMPTY
+    equal = ((a == b) & mine).sum(axis=1)
+    used = np.maximum((mine | other).sum(axis=1), 1)
+    hidden = na - mine.sum(axis=1) + nb - other.sum(axis=1)
     both = np.minimum(equal + hidden, np.minimum(na, nb))
-    return np.where(np.maximum(na, nb) <= FEW, both >= least * (na + nb - both) - 1e-9, share >= least_share(used, na + nb, least, chance))
+    few = np.maximum(na, nb) <= FEW
+    return np.where(few, both >= least * (na + nb - both) - 1e-9, equal / used >= least_share(used, na + nb, least, COLLISION)), equal / used
+
+
+def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, th, text): a null id as the least, a hash of the text; rows equal in both are one document."""
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), row_key(text).alias("th"), F.col(text).alias("text"))
 
 
 def sketch(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(id, n_shingles, cls, regs, grams) of every row; cls and regs are null for a set without shingles, grams are empty for one of more than FEW."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).alias("text"))
+    """(id, th, n_shingles, cls, regs) of every row; cls and regs are null for a set without shingles."""
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, 1):
-                s, off = sets(part.column(1), k)
+            for part in pieces(batch, 2):
+                s, off = sets(part.column(2), k)
                 cls = classes(s, off)
                 regs = [r.tobytes() if c else None for r, c in zip(registers(s, off), cls)]
-                n = np.diff(off)
-                few = np.concatenate([[0], np.cumsum(np.where(n <= FEW, n, 0))]).astype(np.int32)
-                grams = pa.ListArray.from_arrays(pa.array(few), pa.array(s[np.repeat(n <= FEW, n)].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(regs, pa.binary()), grams], names=["id", "n_shingles", "cls", "regs", "grams"])
-
-    return rows.mapInArrow(run, "id long, n_shingles long, cls binary, regs binary, grams array<long>")
-
-
-def _prefixes(small: DataFrame, part: int, whole: int) -> DataFrame:
-    """(band, cls) for every shingle in the prefix of a set (cls, n, grams); shingles of one set alone come first and pair nothing."""
-    grams = small.select("cls", "n", F.explode("grams").alias("gram"))
-    common = written(grams.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1"))
-    held = grams.join(merged(common), "gram").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("many", "gram"))).alias("held"))
-    first = F.expr(f"slice(held, 1, greatest(size(held) + 1 - cast((n * {part} + {whole - 1}) div {whole} AS int), 0))")
-    out = written(held.select(F.explode(first).alias("x"), "cls").select(F.xxhash64("x.gram", F.lit(FEW)).alias("band"), "cls"))
-    release(common)
-    return out
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(off), pa.int64()), pa.array(cls, pa.binary()), pa.array(regs, pa.binary())], names=["id", "th", "n_shingles", "cls", "regs"])
+
+    return _named(docs, key, text).mapInArrow(run, "id long, th long, n_shingles long, cls binary, regs binary")
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), BUCKETS)
 
 
 def _banded(classed: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                regs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(part.num_rows, BUCKETS)
-                keys = bands(regs)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1])))], names=["band", "cls"])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                keys = bands(matrix(part.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), BANDS)))], names=["band", "cls"])
 
     return classed.select("cls", "regs").mapInArrow(run, "band long, cls binary")
 
 
-def _shortened(classed: DataFrame) -> DataFrame:
-    """(cls, n, short sketch, 32 bits of each band's hash)."""
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                regs = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(part.num_rows, BUCKETS)
-                x, keys = short(regs), (bands(regs) >> U64(32)).astype(np.uint32)
-                packed = (x[:, ::2] << 4) | x[:, 1::2]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array([p.tobytes() for p in keys], pa.binary())], names=["cls", "n", "sk", "keys"])
-
-    return classed.select("cls", "n", "regs").mapInArrow(run, "cls binary, n long, sk binary, keys binary")
-
-
-def _pairs_of_groups(batches, part: int, whole: int):
-    """Rows (band, i, j, side, root, n, cls, sk, keys) in order of (band, i, j) -> pairs (a, b) between different roots whose short sketches don't rule them out, each in the first band that it shares or, without one, in each prefix."""
-    import pandas as pd
-
-    def flush(x: pd.DataFrame):
-        sk = np.frombuffer(b"".join(x["sk"]), np.uint8).reshape(len(x), SHORT // 2)
-        regs = np.stack([sk >> 4, sk & 15], axis=2).reshape(len(x), SHORT)
-        keys = np.frombuffer(b"".join(x["keys"]), np.uint32).reshape(len(x), BANDS)
-        mine = (x["band"].to_numpy().view(np.uint64) >> U64(32)).astype(np.uint32)
-        group = (x[["band", "i", "j"]].ne(x[["band", "i", "j"]].shift())).any(axis=1).to_numpy()
-        ends = np.append(np.flatnonzero(group)[1:], len(x))
-        end = ends[np.cumsum(group) - 1]
-        many = end - np.arange(len(x)) - 1
-        root, n, side = pd.factorize(x["root"])[0], x["n"].to_numpy(), x["side"].to_numpy()
-        own = (x["i"] == x["j"]).to_numpy()
-        cls = x["cls"].to_numpy()
-        begin = 0
-        total = np.cumsum(many)
-        while begin < len(x):
-            stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + 100_000, "right")))
-            count = many[begin:stop]
-            p = np.repeat(np.arange(begin, stop), count)
-            q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
-            ok = (root[p] != root[q]) & (whole * np.minimum(n[p], n[q]) >= part * np.maximum(n[p], n[q])) & (own[p] | (side[p] != side[q]))
-            p, q = p[ok], q[ok]
-            shared = keys[p] == keys[q]
-            ok = (keys[p, shared.argmax(axis=1)] == mine[p]) | ~shared.any(axis=1)  # without a common band it's a group of a prefix
-            p, q = p[ok], q[ok]
-            ok = possible(regs[p], regs[q], n[p], n[q], part / whole, 1 / 15, 0)
-            a, b = cls[p[ok]], cls[q[ok]]
-            swap = a > b
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a), pa.binary()), pa.array(np.where(swap, a, b), pa.binary())], names=["a", "b"])
-            begin = stop
+def _cell_pairs(x: pa.Table, part: int, whole: int, most: int):
+    """Of the rows (band, i, j, main, side, root, n, cls, regs) of one cell: pairs (x, y, share, held) between roots.
 
+    Where i and j name one block all its rows meet, else those of one side meet those of the other.
+    A pair is looked at in the first band that its classes share. x is the class whose component has
+    fewer rows in the cell; of each x the `most` pairs with the largest shares are given out, and
+    held says whether more were found.
+    """
+    regs, cls = matrix(x["regs"].combine_chunks()), np.array(x["cls"].to_pylist(), object)
+    root = x["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+    n, side = x["n"].to_numpy(), x["side"].to_numpy()
+    alone = x["i"][0].as_py() == x["j"][0].as_py()
+    keys = bands(regs)
+    mine = int((keys == x["band"].to_numpy().view(U64)[0])[0].argmax())
+    before = np.ascontiguousarray(keys[:, :mine])
+    often = np.bincount(root)[root]
+    size = len(x)
+    first = np.flatnonzero(side == side[0]) if not alone else np.arange(size)
+    second = np.flatnonzero(side != side[0]) if not alone else first
+    best: list[tuple] = []
+    width = max(1, AT_ONCE // max(len(second), 1))
+    for at in range(0, len(first), width):
+        some = first[at : at + width]
+        p, q = np.repeat(some, len(second)), np.tile(second, len(some))
+        ok = (root[p] != root[q]) & (whole * np.minimum(n[p], n[q]) >= part * np.maximum(n[p], n[q]))
+        if alone:
+            ok &= p < q
+        p, q = p[ok], q[ok]
+        for begin in range(0, len(p), AT_ONCE):
+            a, b = p[begin : begin + AT_ONCE], q[begin : begin + AT_ONCE]
+            if mine:
+                new = ~(before[a] == before[b]).any(axis=1)
+                a, b = a[new], b[new]
+            ok, share = possible(regs[a], regs[b], n[a], n[b], part / whole)
+            best.append((a[ok], b[ok], share[ok]))
+    a, b, share = (np.concatenate([t[c] for t in best]) if best else np.zeros(0, np.int64) for c in range(3))
+    swap = (often[a] > often[b]) | ((often[a] == often[b]) & (root[a] > root[b]))
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    order = np.lexsort((b, -share, a))
+    a, b, share = a[order], b[order], share[order]
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    nth = np.arange(len(a)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(a) else np.zeros(0, np.int64)
+    keep = nth < most
+    held = (np.bincount(a, minlength=size) > most)[a]
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.full(int(keep.sum()), x["band"][0].as_py()), pa.int64()), pa.array(cls[a[keep]], pa.binary()), pa.array(cls[b[keep]], pa.binary()),
+        pa.array(share[keep].astype(np.float64)), pa.array(held[keep])], names=["band", "x", "y", "share", "held"])
+
+
+def _pairs_of_cells(batches, part: int, whole: int, most: int):
+    """Rows in order of (band, i, j); a cell holds at most two blocks."""
     held = None
     for batch in batches:
-        x = batch.to_pandas()
-        x = x if held is None else pd.concat([held, x], ignore_index=True)
-        last = x.iloc[-1]
-        open_ = ((x["band"] == last["band"]) & (x["i"] == last["i"]) & (x["j"] == last["j"])).to_numpy()
-        held = x[open_].reset_index(drop=True)
-        if not open_.all():
-            yield from flush(x[~open_].reset_index(drop=True))
-    if held is not None and len(held):
-        yield from flush(held)
+        x = pa.Table.from_batches([batch])
+        x = x if held is None else pa.concat_tables([held, x])
+        names = np.stack([x[c].to_numpy() for c in ("band", "i", "j")])
+        edge = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1
+        for a, b in zip([0, *edge[:-1]], edge):
+            if b - a > 1:
+                yield _cell_pairs(x.slice(a, b - a), part, whole, most)
+        held = x.slice(edge[-1] if len(edge) else 0)
+    if held is not None and len(held) > 1:
+        yield _cell_pairs(held, part, whole, most)
+
+
+def _between(members: DataFrame, roots: DataFrame, classed: DataFrame, part: int, whole: int, most: int) -> DataFrame:
+    """(band, x, y, share, held, nth) of pairs between components that may be similar enough, `most` for each x.
+
+    Where a group has more than BLOCK classes, those of its most frequent component, which needn't
+    meet each other, are dealt to blocks of their own.
+    """
+    inside = written(members.select("band", "cls").join(merged(roots.withColumnRenamed("v", "cls")), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root")))
+    of_root = inside.groupBy("band", "root").agg(F.count("*").alias("many"))
+    counted = written(of_root.groupBy("band").agg(F.max(F.struct("many", "root")).alias("main"), F.sum("many").alias("many"), F.count("*").alias("roots")).where("roots > 1").select("band", "main", "many"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    x = inside.join(merged(counted), "band").withColumns({"big": F.col("many") > BLOCK, "own": F.col("root") == F.col("main.root")})
+    x = x.withColumns({"mains": blocks(F.col("main.many")), "others": blocks(F.col("many") - F.col("main.many"))})
+    block = F.when(F.col("own"), F.col("others") + F.pmod(F.xxhash64("cls"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("cls"), F.col("others"))).cast("int")
+    x = x.withColumn("side", F.when(F.col("big"), block).otherwise(0))
+    meets = F.when(~F.col("big"), F.array(F.lit(0))).when(F.col("own"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
+    x = x.join(merged(classed.select("cls", "n", "regs")), "cls").select("band", "side", "root", "n", "cls", "regs", F.explode(meets).alias("other"))
+    x = x.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "root", "n", "cls", "regs")
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    found = x.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(lambda b: _pairs_of_cells(b, part, whole, most), "band long, x binary, y binary, share double, held boolean")
+    # at most BANDS * `most` of a class for each block it meets
+    out = written(found.withColumn("nth", F.row_number().over(W.partitionBy("x").orderBy(F.col("share").desc(), "y"))))
+    release(inside)
+    release(counted)
+    return out
 
 
 def _plausible(pairs: DataFrame, classed: DataFrame, least: float) -> DataFrame:
@@ -233,9 +260,10 @@ def _plausible(pairs: DataFrame, classed: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, BUCKETS) for i in (2, 3))
-            keep = possible(x, y, batch.column(4).to_numpy(), batch.column(5).to_numpy(), least, COLLISION, int(EMPTY))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            for at in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(at, AT_ONCE)
+                keep, _ = possible(matrix(some.column(2)), matrix(some.column(3)), some.column(4).to_numpy(), some.column(5).to_numpy(), least)
+                yield some.select(["a", "b"]).filter(pa.array(keep))
 
     joined = pairs.join(merged(side("a")), "a").join(merged(side("b")), "b").select("a", "b", "ra", "rb", "na", "nb")
     return joined.mapInArrow(run, "a binary, b binary")
@@ -243,19 +271,21 @@ def _plausible(pairs: DataFrame, classed: DataFrame, least: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, classed: DataFrame, k: int, part: int, whole: int, key: str, text: str) -> DataFrame:
     """Pairs whose sets, made anew from the texts, have whole * intersection >= part * union."""
-    need = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(merged(classed.select("cls", "id")), "cls").select("id").distinct()
-    mine = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).alias("text")).join(merged(need), "id", "left_semi").select("text")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    need = wanted.join(merged(classed.select("cls", "at")), "cls").select("at.id", "at.th")
+    mine = _named(docs, key, text).join(merged(need), ["id", "th"], "left_semi").select("text")
 
     def name(batches):
         for batch in batches:
             for some in pieces(batch, 0):
                 yield pa.RecordBatch.from_arrays([pa.array(classes(*sets(some.column(0), k)), pa.binary()), some.column(0)], names=["cls", "text"])
 
-    texts = written(mine.mapInArrow(name, "cls binary, text string").where("cls IS NOT NULL"))
+    # rows equal in id and text bring the text again
+    texts = written(mine.mapInArrow(name, "cls binary, text string").where("cls IS NOT NULL").dropDuplicates(["cls"]))
 
     def check(batches):
         for batch in batches:
-            for some in pieces(batch, 2, 2 << 20):
+            for some in pieces(batch, 2, 512 << 10):
                 (x, xo), (y, yo) = sets(some.column(2), k), sets(some.column(3), k)
                 nx, ny = np.diff(xo), np.diff(yo)
                 row = np.arange(some.num_rows)
@@ -268,70 +298,72 @@ def _verified(pairs: DataFrame, docs: DataFrame, classed: DataFrame, k: int, par
 
     side = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"t{c}"))
     joined = pairs.join(merged(side("a")), "a").join(merged(side("b")), "b").select("a", "b", "ta", "tb")
-    links = written(joined.mapInArrow(check, "a binary, b binary").distinct())
+    links = written(joined.mapInArrow(check, "a binary, b binary"))
     release(texts)
+    tidy(docs.sparkSession)
     return links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row of docs; component_id is the least id reachable by links.
+    """(id, th, n_shingles, root, component_id) for every row of docs; component_id is the least id reachable by links, th a hash of the text.
+
+    root names the component itself, which ids can't where they are null or repeated; it is null for
+    a text without words.
 
     Words are runs of anything but ASCII white space, A to Z lower-cased; a text of fewer than k
     words is one shingle; null texts and texts without words have none and are linked with nothing.
-    Two documents are linked if whole * intersection >= part * union on their full sets. No
-    similar pair of sets of at most FEW shingles is missed; one of sets far larger than the number
-    of buckets shares no band with a chance of 5e-8 at 0.8, above it less.
+    Two documents are linked if whole * intersection >= part * union on their full sets. A pair at
+    similarity s shares no band with a chance of (1 - s^5)^40: 2e-7 at 0.8, 7e-11 at 0.85; sets of few
+    shingles are no exception. The estimate drops a true link of larger sets SIGMAS deviations off.
 
     A null id counts as smaller than any other. Repeated rows are linked with each other, as equal
-    sets are. Ids need not be unique. An empty table gives no rows; extra columns are ignored.
+    sets are, and are looked at once. Ids need not be unique. An empty table gives no rows; extra
+    columns are ignored.
     """
+    spark = docs.sparkSession
     sketched = written(sketch(docs, k, key, text))
-    classed = written(sketched.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("grams").alias("grams")))
-    all_docs = written(sketched.select("id", "n_shingles", "cls"))
+    classed = written(sketched.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("id", "th")).alias("at"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")))
+    all_docs = written(sketched.select("id", "th", "n_shingles", "cls"))
     release(sketched)
-    tidy(docs.sparkSession)
-    prefixes = _prefixes(classed.where(F.col("n") <= FEW), part, whole)
-    banded = _banded(classed).union(prefixes)
+    tidy(spark)
+    banded = _banded(classed)
     shared = written(banded.groupBy("band").agg(F.count("*").alias("many")).where("many > 1"))
     members = written(banded.join(merged(shared), "band"))
     release(shared)
-    release(prefixes)
-    weight = written(members.groupBy("cls").agg(F.sum("many").alias("weight")))
-    centres = written(members.join(merged(weight), "cls").groupBy("band").agg(F.max_by("cls", F.struct("weight", "cls")).alias("centre")))
-    release(weight)
-    tidy(docs.sparkSession)
-    near = members.join(merged(centres), "band").where("cls <> centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
-    tried = written(_plausible(near, classed, part / whole))
-    release(centres)
-    links = _verified(tried, docs, classed, k, part, whole, key, text)
-    roots = written(components(links).withColumnRenamed("v", "cls"))
-
-    inside = written(members.select("band", "cls").join(merged(roots), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root")))
+    weight = members.groupBy("cls").agg(F.sum("many").alias("weight"))
+    weighed = written(members.join(merged(weight), "cls").select("band", "cls", "weight"))
     release(members)
-    tidy(docs.sparkSession)
-    counted = written(inside.groupBy("band").agg(F.count("*").alias("many"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")))
-    mixed = inside.join(merged(counted), "band").join(merged(_shortened(classed)), "cls")
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    met = mixed.withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = met.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "root", "n", "cls", "sk", "keys")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = dealt.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-    rest = dealt.mapInArrow(lambda b: _pairs_of_groups(b, part, whole), "a binary, b binary").distinct().join(merged(tried), ["a", "b"], "left_anti")
-    left = written(_plausible(rest, classed, part / whole))
-    for x in (inside, counted, tried):
-        release(x)
-    tidy(docs.sparkSession)
-    more = _verified(left, docs, classed, k, part, whole, key, text)
-    final = roots
-    if not more.isEmpty():
-        final = written(components(links.union(more)).withColumnRenamed("v", "cls"))
-    tidy(docs.sparkSession)
-    grouped = classed.select("cls", "id").join(merged(final), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    members = weighed
+    tidy(spark)
+    centres = members.groupBy("band").agg(F.max(F.struct("weight", "cls")).alias("centre"))
+    met = members.join(merged(centres), "band").where("cls <> centre.cls").groupBy("cls").agg(F.max("centre").alias("centre"))
+    pairs = met.select(F.least("cls", "centre.cls").alias("a"), F.greatest("cls", "centre.cls").alias("b")).distinct()
+    tried = written(_plausible(pairs, classed, part / whole))
+    tidy(spark)
+    links = [_verified(tried, docs, classed, k, part, whole, key, text)]
+    roots = components(links[0])
+    open_, most, scratch = members, FIRST, [members, tried, *links]
+    while True:
+        found = _between(open_, roots, classed, part, whole, most)
+        tidy(spark)
+        new = written(found.where(F.col("nth") <= most).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(merged(tried), ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            links.append(_verified(new, docs, classed, k, part, whole, key, text))
+            release(roots)
+            roots = components(reduce(DataFrame.union, links))
+        scratch += [found, new, links[-1]]
+        held = written(found.where((F.col("nth") > most) | F.col("held")).select("band").distinct())
+        scratch.append(held)
+        if held.isEmpty():
+            break
+        tried, open_, most = tried.union(new), members.join(merged(held), "band", "left_semi"), most * GROWTH
+    tidy(spark)
+    grouped = classed.select("cls", "at.id").join(merged(roots.withColumnRenamed("v", "cls")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = written(grouped.groupBy("root").agg(F.min("id").alias("component_id")))
-    named = written(grouped.join(merged(least), "root").select("cls", "component_id"))
-    for x in (least, classed, left, links, more):
+    named = written(grouped.join(merged(least), "root").select("cls", "root", "component_id"))
+    for x in {x._scratch: x for x in [*scratch, least, classed, roots]}.values():
         release(x)
-    tidy(docs.sparkSession)
-    null = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c))
-    told = all_docs.select("id", "n_shingles", "cls").join(merged(named), "cls", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return told.select(null("id").alias("id"), "n_shingles", null("component_id").alias("component_id"))
+    tidy(spark)
+    null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    told = all_docs.join(merged(named), "cls", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    return told.select(null("id").alias("id"), "th", "n_shingles", "root", null("component_id").alias("component_id"))

@@ -148,16 +148,44 @@ def test_no_pair_of_short_texts_is_missed(spark, k, part, words):
     assert got == {i: i - i % 2 for i in texts}
 
 
-def test_small_sets_are_never_ruled_out():
+SMALL = [(c, one, two) for one, two in ((0, 1), (1, 1), (0, 2), (1, 2), (2, 2), (0, 3), (2, 3), (0, 5)) for c in range(1, 41 - max(one, two))]
+
+
+@pytest.mark.parametrize("least", [0.85, 0.8])
+def test_small_sets_share_a_band_and_are_never_ruled_out(least):
     rng = np.random.default_rng(4)
-    for common, one, two in ((4, 1, 0), (8, 1, 1), (20, 3, 2), (32, 8, 0), (36, 4, 4)):
-        x = rng.integers(0, 2**64, (4000, common + one + two), dtype=np.uint64)
+    at_threshold = [(c, one, two) for c, one, two in SMALL if least <= c / (c + one + two) + 1e-9 < least + 0.06]
+    for common, one, two in at_threshold:
+        x = rng.integers(0, 2**64, (2000, common + one + two), dtype=np.uint64)
         a, b = np.sort(x[:, : common + one], axis=1), np.sort(np.concatenate([x[:, :common], x[:, common + one :]], axis=1), axis=1)
-        ra, rb = (minhash.registers(y.reshape(-1), np.arange(4001) * y.shape[1]) for y in (a, b))
-        na, nb = np.full(4000, common + one), np.full(4000, common + two)
-        least = common / (common + one + two)
-        assert minhash.possible(ra, rb, na, nb, least, minhash.COLLISION, int(minhash.EMPTY)).all()
-        assert minhash.possible(minhash.short(ra), minhash.short(rb), na, nb, least, 1 / 15, 0).all()
+        ra, rb = (minhash.registers(y.reshape(-1), np.arange(2001) * y.shape[1]) for y in (a, b))
+        assert (minhash.bands(ra) == minhash.bands(rb)).any(axis=1).all(), (common, one, two)
+        assert minhash.possible(ra, rb, np.full(2000, common + one), np.full(2000, common + two), common / (common + one + two))[0].all()
+
+
+def test_a_family_of_strays_is_compared_in_full_within_bounded_rounds(spark, monkeypatch):
+    """Copies that stray from one original: most pairs of copies lie under the threshold, some above."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "FIRST", 1)
+    monkeypatch.setattr(minhash, "GROWTH", 2)
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    texts = {}
+    for i in range(60):
+        x = list(base)
+        for _ in range(r.choice([3, 5, 8])):
+            x[r.randrange(150)] = f"x{r.randrange(10**6)}"
+        texts[i] = " ".join(x)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {x.id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert got == brute(texts, 3, 85, 100)
+
+
+def test_many_equal_rows_give_as_many_rows(spark):
+    t = " ".join(map(str, range(40)))
+    docs = spark.createDataFrame([(1, t)] * 300 + [(2, t + " more")] * 300 + [(None, t + " else")] * 300, "doc_id long, text string")
+    got = minhash.near_duplicates(docs).groupBy("id", "component_id").count().collect()
+    assert sorted(((x.id or 0), x.component_id, x["count"]) for x in got) == [(0, None, 300), (1, None, 300), (2, None, 300)]
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark):
@@ -176,6 +204,5 @@ def test_registers_estimate_the_similarity():
         x, y = np.sort(base[:2000]), np.sort(np.concatenate([base[:n], base[2000 : 4000 - n]]))
         j = n / (4000 - n)
         r = minhash.registers(np.concatenate([x, y]), np.array([0, 2000, 4000]))
-        got, used = minhash.compare(r[:1], r[1:], minhash.EMPTY)
-        assert abs(got[0] - j) < 5 * np.sqrt(j * (1 - j) / used[0])
-        assert got[0] >= minhash.least_share(used, np.array([4000]), j, minhash.COLLISION)[0]
+        ok, got = minhash.possible(r[:1], r[1:], np.array([2000]), np.array([2000]), j)
+        assert ok[0] and abs(got[0] - j) < 5 * np.sqrt(j * (1 - j) / 256)
