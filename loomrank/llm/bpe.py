@@ -2,9 +2,10 @@
 
 Every text is cut where a rolling hash over its last 32 bytes says so. A chunk that any text
 brought before is not encoded again (a bounded memo in each Python worker, which lives on from task
-to task). A cut may fall inside a word, so each join is repaired: a window around it is encoded and
-grown to both sides until its ends agree with token boundaries of the chunks at places where any
-encoding must break, and only then spliced in.
+to task and lets go of what was longest not used). A cut may fall inside a word, so each join is
+repaired: a window around it is encoded anew and grown to both sides, as often as it takes, until
+both its ends agree with token boundaries of the chunks at places where any encoding must break,
+and only then spliced in.
 
 Such a place is a byte that isn't white space followed by a blank: the pre-tokenizer's pattern never
 lets a piece run on from anything but white space into a blank, and looks at nothing before a piece,
@@ -33,6 +34,9 @@ MEMO_BYTES = 48 << 20
 # Fixed value: the published pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SAFE = re.compile(rb"[^\s\x80-\xff\x1c-\x1f](?= )")
+LONG = 4096
+# The characters of the property White_Space. The pattern's look-ahead would take a long run of them one by one on a stack.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
 
 
 def byte_letters() -> dict[str, int]:
@@ -65,17 +69,30 @@ class Codec:
             self.bytes_of[i] = word
         self.length = np.array([len(b) for b in self.bytes_of], np.int64)
         self.decimal = [str(i) for i in range(len(self.bytes_of))]
-        self.special = [s.encode() for s in special]
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in told["added_tokens"]):
+            raise ValueError("special tokens must stand for themselves")
+        self.special = {s.encode(): i for s, i in special.items()}
+        self.special_at = re.compile(b"(" + b"|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + b")") if special else re.compile(rb"(?!)")
         self.mask, self.memo_bytes = np.uint32((1 << chunk_bits) - 1 << 32 - chunk_bits), memo_bytes
         self.memo: dict[bytes, np.ndarray] = {}
         self.held = self.encoded = self.reused = 0
 
     def encode_whole(self, data: bytes) -> np.ndarray:
-        """Of a text that holds special tokens."""
-        return np.array(self.engine.encode(data.decode("utf-8"), allowed_special="all"), np.int32)
+        """Of a text that holds special tokens: the stretches between them on their own."""
+        parts = self.special_at.split(data)  # odd ones are special tokens
+        return np.concatenate([np.array([self.special[x]], np.int32) if i % 2 else self.encode_bytes(x) for i, x in enumerate(parts)])
 
     def encode_bytes(self, data: bytes) -> np.ndarray:
-        return np.array(self.engine.encode_ordinary(data.decode("utf-8")), np.int32)
+        """Of a stretch without special tokens. A long run of white space is a piece but for its last character, which belongs to what follows."""
+        text = data.decode("utf-8")
+        if len(data) < LONG or not (found := list(_LONG_SPACE.finditer(text))):
+            return np.array(self.engine.encode_ordinary(text), np.int32)
+        out, done = [], 0
+        for run in found:
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += [self.engine.encode_ordinary(text[done : run.start()]), self.engine._core_bpe.encode_single_piece(text[run.start() : end].encode())]
+            done = end
+        return np.concatenate([np.array(x, np.int32) for x in [*out, self.engine.encode_ordinary(text[done:])]])
 
     def chunk(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk, and where its tokens end, from 0 on."""
@@ -86,13 +103,14 @@ class Codec:
             np.cumsum(self.length[ids], out=ends[1:])
             got = ids, ends
             self.encoded += 1
-            if self.held > self.memo_bytes:
-                self.memo.clear()
-                self.held = 0
             self.memo[data] = got
             self.held += len(data) + 2 * ids.nbytes + 400
+            while self.held > self.memo_bytes and len(self.memo) > 1:
+                oldest = next(iter(self.memo))
+                self.held -= len(oldest) + 2 * self.memo.pop(oldest)[0].nbytes + 400
         else:
             self.reused += 1
+            self.memo[data] = self.memo.pop(data)  # used last
         return got
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
@@ -116,27 +134,23 @@ class Codec:
         skip = 0  # tokens of chunk i before `done`
         while i < n - 1:
             ids, ends = chunks[i]
-            left = self._left(data, done, edges[i + 1])
-            if left is None:
-                left = done
-            q = int(ends.searchsorted(left - edges[i]))
-            k = i + 1
-            while (right := self._right(data, edges[k], edges[k + 1])) is None and k < n - 1:
-                k += 1  # grow to the right until a safe place inside a chunk
-            right = len(data) if right is None else right
-            fresh = self.encode_bytes(data[left:right])
-            at = right - edges[k]
-            p = int(chunks[k][1].searchsorted(at))
-            if ends[q] != left - edges[i] or chunks[k][1][p] != at:
-                return self.encode_bytes(data)  # no agreement with the chunks' tokens: the whole text anew
-            out += [ids[skip:q], fresh]
+            left, right, k = edges[i + 1], edges[i + 1], i + 1
+            while True:  # grow to both sides until they agree; the start of what is open and the end of the text always do
+                left = self._left(data, done, left) or done
+                while (further := self._right(data, max(right, edges[k]), edges[k + 1])) is None and k < n - 1:
+                    k += 1
+                right = len(data) if further is None else further
+                q, p = int(ends.searchsorted(left - edges[i])), int(chunks[k][1].searchsorted(right - edges[k]))
+                if ends[q] == left - edges[i] and chunks[k][1][p] == right - edges[k]:
+                    break
+            out += [ids[skip:q], self.encode_bytes(data[left:right])]
             done, i, skip = right, k, p
         out.append(chunks[i][0][skip:])
         return np.concatenate(out)
 
     @staticmethod
     def _left(data: bytes, low: int, cut: int) -> int | None:
-        """The last safe place in low..cut, at which the left chunk's own tokens break too."""
+        """The last safe place between low and cut, at which the left chunk's own tokens break too."""
         at = cut - 1
         while (at := data.rfind(b" ", low + 1, at + 1)) > 0:
             if _SAFE.match(data, at - 1):
@@ -170,11 +184,11 @@ def _encoded(c: Codec, column: pa.Array) -> Iterator[np.ndarray]:
     data, off = text_bytes(column)
     raw, cuts = data.tobytes(), c.cuts(data)
     low, high = np.searchsorted(cuts, off[:-1] + WINDOW), np.searchsorted(cuts, off[1:])
-    special = any(s in raw for s in c.special)
+    special = c.special_at.search(raw) is not None
     for i in range(len(column)):
         a, b = int(off[i]), int(off[i + 1])
         text = raw[a:b]
-        if special and any(s in text for s in c.special):
+        if special and c.special_at.search(text):
             yield c.encode_whole(text)  # a cut could split a special token
         else:
             yield c.encode(text, (cuts[low[i] : high[i]] - a).tolist())
