@@ -1,12 +1,13 @@
-"""Line dedup by hashes of windows of lines.
+"""Line dedup by winnowing over line hashes.
 
 A document's lines that aren't blank, trimmed, are a sequence of hashes. Of every window of `run`
-lines the least hash is its mark, so two places that share `run`
-lines share a mark; nearly every mark comes twice, so it filters little. Windows whose mark comes again
-are joined, by a hash of all their lines, with the first place at which these stand;
-windows that overlap extend each other into maximal runs.
-All but the first of each run, by (id, place), is deleted. Where asked for, so are single lines of
-many words that repeat, whatever their neighbours are.
+lines the line of the least hash, the leftmost of equal ones, is selected as a fingerprint; a place
+selected by several windows is one fingerprint. Two places that share `run` lines or more are
+guaranteed to share one. Positions of fingerprints that come again are joined and extended both
+ways: the windows that selected them, which reach up to run - 1 lines to either side, are matched
+whole, and matched windows that overlap make maximal runs. All but the first of each run, by (id,
+place), is deleted. Where asked for, so are single lines of many words that repeat, whatever their
+neighbours are; they are windows of one line.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, U64, merged, mix64, pieces, prefix_hash, row_key, span_hash, text_bytes, tidy, words, written
+from .common import _SPACE, U64, merged, mix64, pieces, prefix_hash, release, row_key, span_hash, text_bytes, tidy, words, written
 
 RUN = 2
 
@@ -37,18 +38,20 @@ def lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return doc[first], breaks[first] - total[off[:-1]][doc[first]], span_hash(prefix_hash(data), begin, end)
 
 
-def windows(doc: np.ndarray, h: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows of `run` lines of one text: first line, mark, hash of all its lines."""
+def fingerprints(doc: np.ndarray, h: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Selected lines in order, n + 1 offsets into the windows that selected them, and first line and hash of all lines of each window."""
     n = len(h) - run + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z, np.zeros(0, U64), np.zeros(0, U64)
+        return z, np.zeros(1, np.int64), z, np.zeros(0, U64)
     at = np.flatnonzero(doc[:n] == doc[run - 1 :])
-    least, whole = h[at].copy(), np.zeros(len(at), U64)
+    least, chosen, whole = h[at].copy(), at.copy(), np.zeros(len(at), U64)
     for j in range(run):
-        np.minimum(least, h[at + j], out=least)
+        less = h[at + j] < least
+        least[less], chosen[less] = h[at + j][less], (at + j)[less]
         whole = mix64(whole * U64(3) + h[at + j])
-    return at, least, whole
+    new = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1])) if len(at) else at  # minima of sliding windows never go back
+    return chosen[new], np.append(new, len(at)), at, whole
 
 
 def line_words(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -70,23 +73,26 @@ def repeated(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "
             for part in pieces(batch, 2):
                 data, off = text_bytes(part.column(2))
                 doc, nth, h = lines(data, off)
-                found = [(run, *windows(doc, h, run))]
+                found = [(run, *fingerprints(doc, h, run))]
                 if alone is not None:
                     at = np.flatnonzero(line_words(data, off) >= alone)
-                    found.append((1, at, h[at], mix64(h[at] + U64(1))))
-                for many, at, least, whole in found:
+                    found.append((1, at, np.arange(len(at) + 1), at, mix64(h[at] + U64(1))))
+                for many, chosen, ends, at, whole in found:
                     raw = nth[at[:, None] + np.arange(many)[None, :]].astype(np.int32)
                     held = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * many), pa.array(raw.reshape(-1)))
-                    row = pa.array(doc[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(whole.view(np.int64)), part.column(0).take(row), part.column(1).take(row), held], names=["mark", "whole", "id", "th", "held"])
+                    around = pa.StructArray.from_arrays([pa.array(whole.view(np.int64)), held], names=["whole", "held"])
+                    row = pa.array(doc[chosen])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[chosen].view(np.int64)), part.column(0).take(row), part.column(1).take(row), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), around)], names=["mark", "id", "th", "around"])
 
-    cuts = written(rows.mapInArrow(cut, "mark long, whole long, id long, th long, held array<int>"))
+    cuts = written(rows.mapInArrow(cut, "mark long, id long, th long, around array<struct<whole:long,held:array<int>>>"))
     marks = written(cuts.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
-    near = cuts.join(merged(marks), "mark")
+    near = written(cuts.join(merged(marks), "mark").select("mark", "id", "th", F.explode("around").alias("x")).select("mark", "id", "th", "x.*"))
     place = F.struct("id", "th", F.col("held")[0].alias("line"))
     first = written(near.groupBy("mark", "whole").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = near.join(merged(first), ["mark", "whole"]).where(~place.eqNullSafe(F.col("first")))
-    gone = written(later.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("gone")))
+    gone = written(later.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_set("held"))).alias("gone")))
+    for x in (cuts, marks, near, first):
+        release(x)
     tidy(docs.sparkSession)
     return gone
 
@@ -99,8 +105,8 @@ def dedup_lines(docs: DataFrame, run: int = RUN, key: str = "doc_id", text: str
     smallest. Rows equal in id and text are one document and are treated alike, so none takes the
     other's lines. Null and empty texts stay as they are, as do texts of fewer than `run` lines.
     With alone, later ones of equal single lines of at least that many words go too.
-    With counts, columns n_lines and n_removed are added (all lines, also blank ones; 0 for null).
-    Extra columns pass through. An empty table gives an empty one. Texts are shuffled once, to
+    With counts, columns n_lines and n_removed are added (all lines, also blank ones; 0 for null),
+    and columns of these names are replaced. Other columns pass through. An empty table gives an empty one. Texts are shuffled once, to
     meet the numbers of their deleted lines.
     """
     gone = repeated(docs, run, key, text, alone)
