@@ -2,8 +2,8 @@
 
 Features are hashed n-grams of 1 to 3 lower-cased characters; document frequencies are counted over
 all rows that may be learned from. The classifier is fitted by follow-the-regularised-leader with an
-elastic-net penalty on a bounded sample, SAMPLE rows a language (those of smallest hashed id), of
-which one in five calibrates the temperature.
+elastic-net penalty on a bounded sample, SAMPLE rows a language (those of smallest hashed id and
+text), of which one in five calibrates the temperature.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from .common import mix64, pieces, widened
 
 BITS = 15
 SAMPLE = 600
+MOST_LANGS = 200  # the model has a column for each
 UNKNOWN = "und"
 _K = mix64(np.arange(1, 4, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
@@ -126,11 +127,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits a model on rows of docs (doc_id, text, lang) that aren't held out.
 
     Document frequencies come from all of them, each text counted whole, summed by bucket in Spark
-    (2^BITS sums come to the driver). The classifier sees at most `sample` rows a language. A
+    (2^BITS sums come to the driver). The classifier sees at most `sample` rows a language, drawn by
+    a hash of id and text, so ids may be null or repeated; rows equal in both and lang teach once. A
     language name is any non-null value of lang; rows without a letter teach nothing. Without rows
-    the model knows no language and predicts `und`.
+    the model knows no language and predicts `und`. More than MOST_LANGS languages are an error, as
+    model and sample grow with their number.
     """
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
 
     def count(batches):
         total = np.zeros((1 << BITS) + 1, np.int64)
@@ -148,14 +151,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     df[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(float)
     idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
 
-    # ids are drawn by a uniform hash; a bound on it that leaves some four times the sample of each language goes before the window, so that no task ranks a whole language
-    draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long") / float(1 << 52)
-    # a row a language, as the model has a column for each: without a broadcast the rows themselves would be dealt by language
-    many = rows.groupBy("lang").agg(F.count("*").alias("many"))
-    near = rows.select("doc_id", "lang", draw.alias("draw")).join(F.broadcast(many), "lang").where(F.col("draw") * F.col("many") <= 4 * sample)
-    ids = near.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("nth") <= sample)
-    # at most `sample` ids a language: small whatever the input
-    picked = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "lang", "text")
+    # rows are drawn by a uniform hash; a bound on it that leaves some four times the sample of each language goes before the window, so that no task ranks a whole language
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(1), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 11) / float(1 << 53)
+    drawn = rows.select("lang", "text", draw.alias("draw"))
+    # a row a language: without a broadcast the rows themselves would be dealt by language
+    many = drawn.groupBy("lang").agg(F.approx_count_distinct("draw").alias("many")).limit(MOST_LANGS + 1).toPandas()
+    if len(many) > MOST_LANGS:
+        raise ValueError(f"lang has more than {MOST_LANGS} values")
+    bound = docs.sparkSession.createDataFrame([(str(x), int(n)) for x, n in zip(many["lang"], many["many"])], "lang string, many long")
+    near = drawn.join(F.broadcast(bound), "lang").where(F.col("draw") * F.col("many") <= 4 * sample).dropDuplicates(["lang", "draw"])
+    picked = near.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("draw"))).where(F.col("nth") <= sample).select("draw", "lang", "text")
 
     def featurize(batches):
         for batch in batches:
@@ -163,14 +168,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 keep = [i for i, t in enumerate(part.column(2)) if has_letter(t.as_py())]
                 xs = [vector(part.column(2)[i].as_py(), idf) for i in keep]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0).take(pa.array(keep, pa.int64())).cast(pa.string()), part.column(1).take(pa.array(keep, pa.int64())),
+                    part.column(0).take(pa.array(keep, pa.int64())), part.column(1).take(pa.array(keep, pa.int64())),
                     pa.array([x[0].astype(np.int32) for x in xs], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for x in xs], pa.list_(pa.float32()))],
-                    names=["doc_id", "lang", "at", "v"])
+                    names=["draw", "lang", "at", "v"])
 
-    got = picked.mapInArrow(featurize, "doc_id string, lang string, at array<int>, v array<float>").toArrow().to_pydict()
+    got = picked.mapInArrow(featurize, "draw double, lang string, at array<int>, v array<float>").toArrow().to_pydict()
     langs = sorted(set(got["lang"]))
     seat = {x: i for i, x in enumerate(langs)}
-    order = sorted(range(len(got["lang"])), key=lambda i: (got["doc_id"][i] or "", got["lang"][i], len(got["at"][i])))
+    order = sorted(range(len(got["lang"])), key=lambda i: (got["draw"][i], got["lang"][i]))
     per: dict[str, int] = {}
     teach, check = [], []
     for i in order:
