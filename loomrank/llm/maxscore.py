@@ -29,7 +29,8 @@ def maxscore(ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, queries: np.nd
     n, d = rows.shape
     exact = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * d < 2.0**53
     if not exact:  # sums may pass what doubles hold: whole numbers of any size
-        rows, queries = rows.astype(object), queries.astype(object)
+        whole = np.frompyfunc(int, 1, 1)
+        rows, queries = whole(rows), whole(queries)
     starts = np.arange(0, n, BLOCK)
     cols = np.ascontiguousarray(rows.T)
     high, low = np.maximum.reduceat(rows, starts), np.minimum.reduceat(rows, starts)
@@ -51,7 +52,9 @@ def maxscore(ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, queries: np.nd
             if theta is not None:
                 part = part[best[part] >= theta]
                 if not len(part):
-                    break  # blocks come in order of bound
+                    if exact:
+                        break  # blocks come in order of bound
+                    continue  # in order of the bounds as doubles
             at = np.concatenate([np.arange(starts[b], starts[b] + size[b]) for b in part])
             most, least = up[part].max(axis=0), down[part].min(axis=0)
             terms = np.argsort(-(most - least).astype(np.float64), kind="stable")
@@ -89,6 +92,9 @@ def maxscore(ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, queries: np.nd
         out_q.append(np.full(len(kept_at), i))
         out_r.append(kept_at)
         out_s.append(kept_s)
+    if not exact:
+        most = np.frompyfunc(lambda x: min(max(x, -(1 << 63)), (1 << 63) - 1), 1, 1)
+        out_s = [most(x) for x in out_s if len(x)]
     cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
     return cat(out_q, np.int64), cat(out_r, np.int64), cat(out_s, np.int64)
 
@@ -96,7 +102,8 @@ def maxscore(ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, queries: np.nd
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Each query row's k rows of highest integer inner product: query_id, rank, vec_id, score.
 
-    Components become floor(256 * x) of x as double. is_query is a condition on the column `id`,
+    Components become floor(256 * x) of x as double, -2^63 to 2^63 - 1 at most; scores are exact and
+    shown as the nearest long where they pass it, within which ties go to the smaller id. is_query is a condition on the column `id`,
     the row's id as long. Vectors that are null, empty, or hold a null or a number that isn't finite
     take no part, nor do rows without id; see blocks.search for repeated rows, lengths and shards.
     An empty table, or one without queries, gives no rows. Extra columns are ignored.
