@@ -50,6 +50,7 @@ class Codes:
 
 def nearest(ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest of one shard for each query: estimates choose k to be measured first, and then every vector whose bound reaches the k-th of them is measured exactly."""
+    rows, queries = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) for x in (rows, queries))  # powers of two change no cosine, and no square overflows
     length, qlength = np.sqrt((rows * rows).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
     unit = rows / length[:, None]
     codes = Codes(unit)

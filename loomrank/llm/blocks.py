@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SHARD_ROWS, QUERY_ROWS = 16384, 4096
+SHARD_ROWS, QUERY_ROWS = 16384, 4096  # at most, of vectors of up to 128 components; fewer of longer ones
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -29,18 +29,22 @@ def matrix(column: pa.ListArray) -> np.ndarray:
 def search(rows: DataFrame, is_query: Column, k: int, score_type: str, find: Callable) -> DataFrame:
     """Each query's k best rows (query_id, rank, vec_id, score), ties to the smaller id.
 
-    rows is (id, v). Rows are dealt by hashed id to shards, queries to blocks, of about SHARD_ROWS
-    and QUERY_ROWS rows whatever the input's size; each pair of a shard and a block is one task,
+    rows is (id, v). Rows are dealt by a hash of id and vector to shards, queries to blocks, of about
+    SHARD_ROWS and QUERY_ROWS rows whatever the input's size; each pair of a shard and a block is one task,
     find(ids, matrix, query ids, query matrix) -> (query position, row position, score) arrays, its
     best k and perhaps more. The lists of the shards are then merged. Vectors of other lengths than
     a query's can't be compared with it and aren't its candidates; rows with the query's own id
-    aren't either. A query row that is repeated is searched once.
+    aren't either. A query row that is repeated is searched once. Rows equal in id and vector are
+    candidates each; they are counted before the shuffle and more than k of them, which no list has
+    room for, don't travel.
     """
-    n = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    shards, blocks = max(1, -(-n[0] // SHARD_ROWS)), max(1, -(-n[1] // QUERY_ROWS))
-    dealt = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    rows = rows.groupBy("id", "v").agg(F.count("*").alias("many")).select("id", "v", F.explode(F.sequence(F.lit(1), F.least(F.col("many"), F.lit(k).cast("long")).cast("int"))).alias("nth"))
+    n = rows.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(F.size("v"))).first()
+    wide = max(1, -(-(n[2] or 1) // 128))
+    shards, blocks = max(1, -(-n[0] * wide // SHARD_ROWS)), max(1, -(-n[1] * wide // QUERY_ROWS))
+    dealt = F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")
     right = rows.select(dealt.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v", F.size("v").alias("d"))
-    queries = rows.where(is_query).distinct()
+    queries = rows.where("nth = 1").where(is_query)
     left = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).cast("int").alias("block"), "id", "v", F.size("v").alias("d"))
     kind = f"query_id long, vec_id long, score {score_type}"
 

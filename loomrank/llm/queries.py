@@ -36,7 +36,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2n and 2n + 1 are the chosen and the rejected side of pair n."""
-    got = chat.preference(table(spark, sf_dir, "conversations"), F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 != 0)
+    got = chat.preference(table(spark, sf_dir, "conversations"), F.shiftright(F.col("conv_id").cast("long"), 1), F.col("conv_id") % 2 != 0)
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["begin"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
     return got.withColumns({c: shown(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
 

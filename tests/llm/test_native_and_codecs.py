@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomrank.llm import bpe, chat, langid, linededup, mix
+from loomrank.llm import bpe, chat, langid, linededup, mix, queries
 
 
 def test_targets_share_all_and_stop_at_three_times(spark):
@@ -67,6 +68,18 @@ def test_bpe_equals_the_library():
     assert own.reused > 0
 
 
+@pytest.mark.parametrize("chunk_bits", [bpe.CHUNK_BITS, 4])
+def test_bpe_of_very_long_runs(chunk_bits):
+    whole = Tokenizer.from_file(bpe.default_path())
+    own = bpe.Codec(bpe.default_path(), chunk_bits)
+    many = 2_000_000 if chunk_bits == bpe.CHUNK_BITS else 20_000
+    texts = [c * many for c in (" ", "\n", "a", "!", "\u3000", "7", " \n", "a ", "é")]
+    texts += [f"a b{' ' * 5000}c", f"a{chr(10) * 5000}", f"{' ' * 9000}\n é", f"x{chr(0xA0) * 5000}y{' ' * 4096}<|endoftext|>{' ' * 5000} z", f"a{' ' * 4095}b{' ' * 4096}c{' ' * 4097}d"]
+    for ids, t in zip(bpe._encoded(own, pa.array(texts)), texts):
+        assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, t[:20]
+        assert own.decode(ids) == t
+
+
 def test_bpe_frames(spark):
     docs = spark.createDataFrame([(1, "Hello there", 5), (1, "Hello there", 5), (None, None, 6), (2, "", 7)], "doc_id long, text string, ids int")
     got = bpe.decode(bpe.encode(docs, bpe.default_path(), check="same"), bpe.default_path(), out="back").collect()
@@ -92,6 +105,32 @@ def test_language_id(spark):
     assert langid.identify(docs, empty).where("lang_pred <> 'und'").count() == 0
 
 
+def test_languages_are_learned_whatever_the_ids(spark):
+    r = random.Random(4)
+    kinds = {"en": [f"e{i}" for i in range(30)], "de": [f"d{i}" for i in range(30)], "fr": [f"f{i}" for i in range(30)]}
+    text = lambda g: " ".join(r.choice(kinds[g]) for _ in range(12))
+    rows = [(None, text("en"), "en") for _ in range(900)] + [(0, text("de"), "de") for _ in range(900)] + [(i, text("fr"), "fr") for i in range(900)]
+    rows += [(0, "the same once more", "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = langid.train(docs, sample=50)
+    assert model.langs == ["de", "en", "fr"]
+    assert all(model.predict(text(g))[0] == g for g in kinds for _ in range(20))
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    docs = spark.createDataFrame([(i, "words here", f"l{i}") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2"):
+        langid.train(docs)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_held_out_accuracy_of_the_query(spark):
+    truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    got = queries.op9_langid(spark, "/root/testdata/sf0.01").where("held_out AND lang_pred <> 'und'").join(truth, "doc_id").where("lang IS NOT NULL").collect()
+    assert len(got) > 150 and sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
+
+
 def test_ftrl_is_sparse_and_temperature_calibrates():
     rng = np.random.default_rng(0)
     z = rng.normal(size=(500, 3)) * 8
@@ -111,6 +150,18 @@ def brute_lines(docs, run):
     return {k: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]) for k, t in docs.items()}
 
 
+def test_fingerprints_are_the_selected_minima_only():
+    rng = np.random.default_rng(5)
+    h, doc = rng.integers(0, 50, 4000).astype(np.uint64), np.sort(rng.integers(0, 300, 4000))
+    for run in (1, 2, 4, 9):
+        chosen, ends, at, _ = linededup.fingerprints(doc, h, run)
+        windows = {int(a): [int(x) for x in h[a : a + run]] for a in range(4000 - run + 1) if doc[a] == doc[a + run - 1]}
+        want = {a: a + w.index(min(w)) for a, w in windows.items()}
+        assert sorted(set(want.values())) == chosen.tolist() and at.tolist() == sorted(windows)
+        assert {int(a): int(c) for c, x, y in zip(chosen, ends, ends[1:]) for a in at[x:y]} == want
+        assert run == 1 or len(chosen) < len(at)
+
+
 def test_lines_against_brute_force(spark):
     r = random.Random(9)
     pool = [f"line {i}" for i in range(12)] + ["", "  ", "hot"]

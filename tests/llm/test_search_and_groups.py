@@ -40,10 +40,39 @@ def test_maxscore_is_exact(spark, monkeypatch, shard):
         assert [(i, s) for _, i, s in sorted(got[q])] == [(i, int(s)) for i, s in want]
 
 
-def test_maxscore_of_very_large_numbers():
-    rows = np.array([[2.0**60, 1.0], [2.0**60, 3.0], [2.0**60, 2.0]])
-    q, r, s = maxscore.maxscore(np.arange(3), rows // 2**58, np.array([9]), np.array([[1.0, 1.0]]), 2)
-    assert r.tolist() == [0, 1] or r.tolist() == [1, 2] or len(r) == 2
+@pytest.mark.parametrize("size", [2.0**28, 2.0**29, 2.0**29 - 1])
+def test_maxscore_is_exact_beyond_what_doubles_hold(monkeypatch, size):
+    monkeypatch.setattr(maxscore, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    rows = np.floor(rng.uniform(-size, size, (300, 8)))
+    rows[1::3] = rows[:-1:3]
+    rows[1::3, 0] += 1  # scores that differ by one product
+    q, r, s = maxscore.maxscore(np.arange(300), rows, np.array([400, 401]), np.array([np.append(1.0, rows[0, 1:]), rows[5]]), 7)
+    for i, query in enumerate(([1, *map(int, rows[0, 1:])], [*map(int, rows[5])])):
+        want = sorted((-sum(int(a) * b for a, b in zip(row, query)), n) for n, row in enumerate(rows))[:7]
+        got = sorted((-int(x), int(n)) for x, n, j in zip(s, r, q) if j == i)
+        assert got == want
+
+
+def test_scores_beyond_a_long_stop_there(spark):
+    docs = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 1.0]), (3, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in maxscore.top_k(docs, F.col("id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
+
+
+def test_repeated_rows_are_candidates_each_and_travel_at_most_k_times(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SHARD_ROWS", 8)
+    docs = spark.createDataFrame([(0, [1.0, 0.0])] + [(1, [1.0, 0.5])] * 40 + [(1, [1.0, 0.25])] * 2, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in maxscore.top_k(docs, F.col("id") == 0, k=3).orderBy("rank").collect()]
+    assert got == [(1, 1, 65536), (2, 1, 65536), (3, 1, 65536)]
+    near = [(r.rank, r.vec_id, round(r.score, 3)) for r in ann.nearest_neighbours(docs, F.col("id") == 0, k=3).orderBy("rank").collect()]
+    assert near == [(1, 1, 0.97), (2, 1, 0.97), (3, 1, 0.894)]
+
+
+def test_ann_of_very_large_and_tiny_components(spark):
+    docs = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e-200, 1e-200]), (2, [1e250, 1e249]), (3, [-1e-300, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, round(r.score, 6)) for r in ann.nearest_neighbours(docs, F.col("id") == 0).orderBy("rank").collect()]
+    assert got == [(2, 0.995037), (1, 0.707107), (3, -1.0)]
 
 
 def test_ann_recall_and_scores(spark):
