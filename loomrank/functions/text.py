@@ -56,7 +56,7 @@ def parse_stars(c: Column) -> Column:
 
 
 def parse_ratings(c: Column) -> Column:
-    """"1,116 ratings" as an int."""
+    """a count such as "2,345 ratings" as an int."""
     return F.nullif(F.replace(F.regexp_extract(strip(c), RATINGS, 1), F.lit(","), F.lit("")), F.lit("")).try_cast("int")
 
 
@@ -83,7 +83,10 @@ def image_url(image: Column, img: Column) -> Column:
 
 
 def fold_of(query_id: Column, salt: str = FOLD_SALT, folds: int = FOLDS) -> Column:
-    """the first 16 hex digits of SHA-256 of "salt:id", modulo the number of folds."""
+    """the first 16 hex digits of SHA-256 of "salt:id", modulo the number of folds.
+
+    Folds that were frozen elsewhere come out the same only under the salt they were made with.
+    """
     digest = F.sha2(F.concat(F.lit(f"{salt}:"), query_id.cast("string")), 256)
     return (F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)") % folds).cast("int")
 
@@ -130,7 +133,7 @@ def stratum_label(low: Column, high: Column) -> Column:
 
 
 def interval_text(point: Column, low: Column, high: Column) -> Column:
-    """"0.8294 [0.8265, 0.8325]"."""
+    """a value and its interval, four digits each."""
     return F.format_string("%.4f [%.4f, %.4f]", point, low, high)
 
 

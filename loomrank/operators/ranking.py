@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomrank.functions.checks import holds
+
 RRF_K = 60
 TOP = 10
 #: Weights of the stage, cross-encoder and listwise orderings.
@@ -45,15 +47,17 @@ def splice(windows: DataFrame, position: str = "stage2_rank") -> DataFrame:
 def spliced_run(windows: DataFrame, ordering: DataFrame) -> DataFrame:
     """Splice with new positions (query_id, product_id, position); queries without an ordering keep their own.
 
-    An ordering that names a query or document outside the windows, or not all of a window, raises.
+    An ordering that names a query or document outside the windows, one twice, or not all of a
+    window, raises when rows are read: sides meet in one full join, and each query is counted.
     """
-    inside = windows.where("in_window").select("query_id", "product_id")
-    stray = F.count(F.when(F.col("_w").isNull(), 1)).alias("stray")
-    short = ordering.select("query_id").distinct().join(inside, "query_id").join(ordering, ["query_id", "product_id"], "left_anti")
-    bad = ordering.join(inside.withColumn("_w", F.lit(1)), ["query_id", "product_id"], "left").agg(stray).first()[0]
-    if bad or not short.isEmpty():
-        raise ValueError("an ordering must be a permutation of its query's window")
-    moved = windows.join(ordering.select("query_id", "product_id", "position"), ["query_id", "product_id"], "left")
+    key = ["query_id", "product_id"]
+    x = windows.withColumn("_here", F.lit(1)).join(ordering.select(*key, "position", F.lit(1).alias("_told")), key, "full")
+    by = W.partitionBy("query_id")
+    inside = F.coalesce(F.col("in_window"), F.lit(False))
+    x = x.withColumns({"_told_in": F.sum("_told").over(by), "_inside": F.count_if(inside).over(by), "_both": F.count_if(inside & F.col("_told").isNotNull()).over(by),
+                       "_distinct": F.size(F.collect_set(F.when(F.col("_told").isNotNull(), F.col("product_id"))).over(by))})
+    fine = F.col("_told_in").isNull() | ((F.col("_told_in") == F.col("_inside")) & (F.col("_both") == F.col("_inside")) & (F.col("_distinct") == F.col("_inside")))
+    moved = x.where(holds(fine, "an ordering must be a permutation of its query's window")).drop("_here", "_told", "_told_in", "_inside", "_both", "_distinct")
     return splice(moved.withColumn("position", F.coalesce("position", "stage2_rank")), "position")
 
 

@@ -34,22 +34,22 @@ def first_per_key(frame: DataFrame, key: list[str], order: list[Column]) -> Data
 
 
 def no_missing(left: DataFrame, right: DataFrame, key: list[str], message: str) -> DataFrame:
-    """Left, after an anti join has shown that each key stands in right."""
-    lost = left.join(right, key, "left_anti").limit(3).collect()
-    require(not lost, f"{message}: {[tuple(r[k] for k in key) for r in lost]}")
-    return left
+    """Left; a key that isn't in right raises when the row is read."""
+    there = right.select(*key).distinct().withColumn("_there", F.lit(True))
+    shown = F.concat(F.lit(f"{message}: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in key]))
+    return left.join(there, key, "left").where(holds(F.coalesce("_there", F.lit(False)), shown)).drop("_there")
 
 
 def guarded_left(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
-    """Left join that may not fan out: a key that stands twice in right raises."""
-    require(right.groupBy(*key).count().where("count > 1").isEmpty(), "the right side has a key twice")
-    return left.join(right, key, "left")
+    """Left join that may not fan out: a key that stands twice in right raises when read. Keys are counted in the join's own shuffle."""
+    counted = right.withColumn("_n", F.count("*").over(W.partitionBy(*key)))
+    return left.join(counted.where(holds(F.col("_n") == 1, "the right side has a key twice")).drop("_n"), key, "left")
 
 
 def covered_inner(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
-    """Inner join that must keep every row of left."""
-    require(left.join(right, key, "left_anti").isEmpty(), "a row of the left side finds no partner")
-    return left.join(right, key)
+    """Inner join that must keep every row of left; one without a partner raises when read."""
+    x = left.join(right.withColumn("_there", F.lit(True)), key, "left")
+    return x.where(holds(F.coalesce("_there", F.lit(False)), "a row of the left side finds no partner")).drop("_there")
 
 
 def enrich(products: DataFrame, corpus: DataFrame) -> DataFrame:

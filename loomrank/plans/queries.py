@@ -124,7 +124,7 @@ def _(s, d):
 
 @add("p15_feature_columns", f"WITH {v.P} SELECT product_id, coalesce(length(product_brand) > 0, false)::INT::DOUBLE AS has_brand, coalesce(length(product_color) > 0, false)::INT::DOUBLE AS has_color, coalesce(length(product_description) > 0, false)::INT::DOUBLE AS has_own_desc, coalesce(length(product_bullet_point) > 0, false)::INT::DOUBLE AS has_bullets FROM e")
 def _(s, d):
-    return features.product_matrix(v.enriched(s, d)).select("product_id", *relational.selected(features.GROUPS, ["presence"]))
+    return features.product_matrix(v.enriched(s, d)).select("product_id", *relational.selected(features.GROUPS, ["own_indicators"]))
 
 
 @add("p16_image_urls", f"WITH {v.J}, {v.P} SELECT product_id, replace(s_image_url, '/images/W/abc/images/I/', '/images/I/') AS url FROM e WHERE s_image_url IS NOT NULL AND product_id IN (SELECT product_id FROM j WHERE label = 'E')")
@@ -747,7 +747,7 @@ def _(s, d):
 @add("x8_indicators", f"""WITH {v.P} SELECT product_id, has_enrichment::INT::DOUBLE AS has_enrichment, (s_stars IS NOT NULL)::INT::DOUBLE AS has_stars, (s_ratings IS NOT NULL)::INT::DOUBLE AS has_ratings, (s_price IS NOT NULL)::INT::DOUBLE AS has_price, (s_bsr_rank IS NOT NULL)::INT::DOUBLE AS has_bsr,
   (s_attrs_json IS NOT NULL)::INT::DOUBLE AS has_attrs, coalesce(s_info_json LIKE '%}}', false)::INT::DOUBLE AS has_info, coalesce(len(s_category) > 0, false)::INT::DOUBLE AS has_category, (description_source = 'scrape')::INT::DOUBLE AS desc_from_scrape FROM e""")
 def _(s, d):
-    return features.product_matrix(v.enriched(s, d)).select("product_id", *features.GROUPS["scrape_presence"])
+    return features.product_matrix(v.enriched(s, d)).select("product_id", *features.GROUPS["s_indicators"])
 
 
 @add("x9_feature_matrix", f"WITH {v.S}, {v.P} SELECT w.query_id, w.product_id, w.label, length(w.query)::DOUBLE AS query_chars, length(product_title)::DOUBLE AS title_chars, has_enrichment::INT::DOUBLE AS has_enrichment, coalesce(s.llm_rank, -1) AS llm_rank FROM w JOIN e USING (product_id) LEFT JOIN s USING (query_id, product_id)")
@@ -886,3 +886,5 @@ def flagship(s, d):
     x = metrics.ndcg_per_query(j, "stage2_score").join(metrics.random_floor(j), "query_id")
     seg = table(s, d, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_mktsegment").alias("segment"))
     return x.join(seg, "query_id").groupBy("segment").agg(F.count("*").alias("n_queries"), F.round(F.avg("ndcg"), 9).alias("ndcg"), F.round(F.avg("floor"), 9).alias("floor"))
+
+from . import rows  # noqa: E402, F401  registers more

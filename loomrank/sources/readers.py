@@ -76,13 +76,31 @@ def trec_run(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digest(spark: SparkSession, path: str) -> str:
-    """SHA-256 of a small file's bytes, read through Spark."""
-    rows = spark.read.format("binaryFile").load(path).select("content").collect()
+    """SHA-256 of a small file's bytes, read through Spark; files of more than 64 MB in all raise."""
+    files = spark.read.format("binaryFile").load(path)
+    if (files.agg(F.sum("length")).first()[0] or 0) > 64 << 20:
+        raise ValueError(f"{path} is too large for a digest on the driver")
+    rows = files.orderBy("path").select("content").collect()
     return hashlib.sha256(b"".join(bytes(r[0]) for r in rows)).hexdigest()
 
 
-def frozen_folds(spark: SparkSession, path: str, expected: str) -> DataFrame:
-    """A CSV of folds whose bytes have the expected SHA-256."""
+def check_model_record(spark: SparkSession, path: str, model: str, max_tokens: int | None = None) -> None:
+    """The encoder and token budget that wrote a store must be those that read or resume it; a store without a record raises."""
+    try:
+        told = spark.read.schema("model string, max_tokens int").json(f"{path}/model_record").first()
+    except AnalysisException as e:
+        raise ValueError(f"{path} has no record of its encoder") from e
+    if told["model"] != model:
+        raise ValueError(f"{path} was written by {told['model']}, not {model}")
+    if max_tokens is not None and told["max_tokens"] != max_tokens:
+        raise ValueError(f"{path} was written with {told['max_tokens']} tokens, not {max_tokens}")
+
+
+def frozen_folds(spark: SparkSession, path: str, expected: str | None = None) -> DataFrame:
+    """A CSV of folds whose bytes have the expected SHA-256, by default that of the sidecar beside it."""
+    if expected is None:
+        expected = spark.read.text(f"{path.rstrip('/')}.sha256").first()[0].split()[0]
+        path = f"{path}/*.csv"
     if digest(spark, path) != expected:
         raise ValueError(f"{path} isn't the frozen file")
     return spark.read.schema("query_id long, fold int").csv(path, header=True)
@@ -97,8 +115,9 @@ def vectors(spark: SparkSession, path: str, width: int) -> DataFrame:
 def bm25_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Postings and statistics; documents and statistics must agree."""
     postings, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
-    if postings.select("doc").distinct().count() > stats.first()["n_docs"]:
-        raise ValueError("the index has more documents than its statistics")
+    told = spark.read.parquet(f"{path}/documents").count()
+    if told != stats.first()["n_docs"] or postings.select("doc").distinct().join(spark.read.parquet(f"{path}/documents"), "doc", "left_anti").limit(1).count():
+        raise ValueError("the index has other documents than its statistics")
     return postings, stats
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomrank.operators.guards import disjoint, unique
@@ -29,9 +29,20 @@ def trec(lines: DataFrame, path: str, order: str = "rank") -> None:
     lines.orderBy("query_id", order).select("value").write.text(path)
 
 
-def frozen_folds(folds: DataFrame, path: str) -> None:
-    """K3: one CSV file in order of query_id, the same bytes each time."""
+def frozen_folds(folds: DataFrame, path: str) -> str:
+    """K3: one CSV file in order of query_id, the same bytes each time, and beside it a sidecar with their SHA-256, which is returned."""
+    from .readers import digest
+
+    spark = folds.sparkSession
     folds.select("query_id", "fold").orderBy("query_id").coalesce(1).write.csv(path, header=True)
+    told = digest(spark, f"{path}/*.csv")
+    spark.createDataFrame([(f"{told}  {path.rstrip('/').rsplit('/', 1)[-1]}",)], "value string").coalesce(1).write.text(f"{path.rstrip('/')}.sha256")
+    return told
+
+
+def model_record(spark: SparkSession, path: str, model: str, max_tokens: int) -> None:
+    """The encoder and token budget that a store is written with."""
+    spark.createDataFrame([(model, max_tokens)], "model string, max_tokens int").coalesce(1).write.mode("overwrite").json(f"{path}/model_record")
 
 
 def append_vectors(new: DataFrame, path: str, stored: DataFrame | None, width: int) -> None:
@@ -44,10 +55,11 @@ def append_vectors(new: DataFrame, path: str, stored: DataFrame | None, width: i
     new.write.mode("append").parquet(path)
 
 
-def bm25_index(postings: DataFrame, stats: DataFrame, path: str) -> None:
-    """K8: postings by term, so that a query's terms prune files, and statistics."""
+def bm25_index(postings: DataFrame, stats: DataFrame, documents: DataFrame, path: str) -> None:
+    """K8: postings by term, so that a query's terms prune files, statistics, and the ids of all documents (the first column), those without terms included."""
     postings.repartition("term").sortWithinPartitions("term").write.option("compression", "zstd").parquet(f"{path}/postings")
     stats.write.parquet(f"{path}/stats")
+    documents.select(F.col(documents.columns[0]).alias("doc")).write.parquet(f"{path}/documents")
 
 
 def cache(entries: DataFrame, path: str) -> None:
