@@ -224,7 +224,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
 
     kind = "mark long, ctx long, copies long, n int, body binary"
     some = rows.join(merged(wanted), F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
-    bodies = written(some.select("text", "wanted").mapInArrow(take, kind))  # rows equal in id and text bring theirs again, all counted twice or more anyway
+    bodies = written(some.select("id", "th", "text", "wanted").dropDuplicates(["id", "th"]).select("text", "wanted").mapInArrow(take, kind))  # of rows equal in id and text one brings them
     tidy(spark)
     by_mark = bodies.groupBy("mark").agg(F.sum(F.length("body") + 1).alias("size"), F.max("copies").alias("copies"))
     large = written(by_mark.where(F.col("size") > LARGEST).select("mark"))
@@ -238,7 +238,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
     release(bodies)
     tidy(spark)
     shifted = F.flatten(F.transform(F.sequence(F.lit(0), F.size("starts") - 1, F.lit(2)), lambda i: F.array(F.get("starts", i) + F.col("begin"), F.get("starts", i + 1) + F.col("begin") + length)))
-    spans = written(found.join(merged(starts), ["mark", "ctx"]).select("id", "th", shifted.alias("spans")).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    spans = written(found.join(merged(starts), ["mark", "ctx"]).select("id", "th", shifted.alias("spans")).groupBy("id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans")))
     release(found)
     release(starts)
     tidy(spark)

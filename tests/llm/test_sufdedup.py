@@ -65,3 +65,12 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.n_removed) for r in sufdedup.dedup_substrings(docs).collect())
     assert got == [(0, 0), (0, len(text)), (1, len(text)), (1, len(text)), (2, 0)]
     assert sufdedup.dedup_substrings(docs.where(F.lit(False))).count() == 0
+
+
+def test_many_equal_rows_stay_linear(spark):
+    t = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(500))
+    docs = spark.createDataFrame([(1, t)] * 150 + [(None, t)] * 50, "doc_id long, text string")
+    spans = sufdedup.repeated_spans(docs, 60).collect()
+    assert len(spans) == 2 and all(len(r.spans) <= 2 * 500 for r in spans)
+    got = sufdedup.dedup_substrings(docs, 60).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted((r.doc_id or 0, r.n_removed, r.n_spans, r["count"]) for r in got) == [(0, 500, 1, 50), (1, 500, 1, 150)]
