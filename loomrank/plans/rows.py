@@ -37,7 +37,7 @@ _guarded("v10_lossless", f"WITH {v.ARMS}, x AS (SELECT a.query_id, a.ndcg - b.nd
          lambda s, d: guards.lossless(metrics.paired(v.arms(s, d).where("arm = 'stage2'"), v.arms(s, d).where("arm = 'stage2'")).agg(F.min("delta").alias("low"), F.max("delta").alias("high"))))
 _guarded("v12_provenance", "SELECT event_id, 'm1' AS model FROM events", lambda s, d: guards.same_provenance(table(s, d, "events").select("event_id", F.lit("m1").alias("model")), model="m1"))
 _guarded("v14_not_empty", f"WITH {v.S} SELECT query_id, product_id, stage2_rank FROM s", lambda s, d: guards.not_empty(v.signals(s, d), "windows").select(*KEY, "stage2_rank"))
-_guarded("v17_enough", "SELECT DISTINCT user_id FROM events", lambda s, d: guards.enough(table(s, d, "events"), "user_id", 20).select("user_id").distinct())
+_guarded("v17_enough", "SELECT DISTINCT user_id FROM events", lambda s, d: guards.enough(table(s, d, "events"), "user_id", 10).select("user_id").distinct())
 
 
 @add("v11_final_only", "SELECT event_id FROM events WHERE event_id % 2 = 1")
