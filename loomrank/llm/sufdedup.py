@@ -4,8 +4,8 @@ All strings of `length` bytes are judged, but no task needs all text. Of the GRA
 such a string the least is its mark, so equal strings have equal marks, wherever they stand. A
 stretch of starts with one mark needs only the bytes under them, its context. Contexts whose mark
 stands nowhere else hold nothing repeated and go no further; equal contexts are counted and travel
-once, with their number. What is left is dealt by mark, and each task builds the Burrows-Wheeler
-transform of some megabytes of contexts and expands intervals breadth first by backward extension:
+once, with their number. What is left is dealt by mark, and each task builds Burrows-Wheeler
+transforms of some 256 KB of contexts and expands intervals breadth first by backward extension:
 level l finds the places where sorted neighbours have l bytes in common, and after `length` levels
 those not yet found have at least that many.
 """
@@ -24,7 +24,8 @@ from .common import BYTE, U64, merged, mix64, pieces, powers, prefix_hash, relea
 
 LENGTH, GRAM = 200, 32
 INDEX_BITS = 21
-SHARD = 1 << 20  # bytes of context after which a task builds a transform
+SHARD = 1 << 18  # bytes of context after which a task builds a transform, so that its arrays stay in cache
+PART = 1 << 23  # bytes of context a task is to read
 LARGEST = (1 << INDEX_BITS) - 2  # bytes of one mark's contexts beyond which its strings are matched by hash instead
 STRETCH = 4096  # starts of one context at most
 
@@ -69,26 +70,44 @@ def contexts(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple
     return at, begin - off[at], count, least[begin], span_hash(prefix, begin, begin + count + length - 1), twice
 
 
-def sorted_rotations(t: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of t in the order of the `depth` symbols from there on, around the end; by doubling, on words that hold two ranks and the position."""
-    n, mask = len(t), U64((1 << INDEX_BITS) - 1)
-    bits = max(1, int(t.max()).bit_length())
-    have = min(depth, (64 - INDEX_BITS) // bits)
-    key = np.zeros(n, U64)
-    for j in range(have):
-        key = (key << U64(bits)) | np.roll(t, -j).astype(U64)
+def sorted_rotations(t: np.ndarray, depth: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """Positions of t in the order of the `depth` symbols from there on, around the end; by doubling, on words that hold two ranks and the position.
+
+    Also the number of symbols that the first words held, whether each row begins a class of those
+    that share these symbols, and whether it shares not even all but the last of them with the row before.
+    """
+    n = len(t)
+    bits = max(1, (n - 1).bit_length())
+    shift, mask = U64(bits), U64((1 << bits) - 1)
+    radix = int(t.max()) + 1
+    have = 1
+    while have < depth and radix ** (have + 1) <= 1 << (64 - bits):
+        have += 1
+    first, classes, shorter = have, None, None
+    around = np.resize(t.astype(U64), n + have)
+    key = around[:n].copy()
+    for j in range(1, have):
+        key *= U64(radix)
+        key += around[j : j + n]
     here = np.arange(n, dtype=U64)
+    new = np.ones(n, bool)
     while True:
-        key = (key << U64(INDEX_BITS)) | here
+        key <<= shift
+        key |= here
         key.sort()
-        order = (key & mask).astype(np.int64)
+        order = (key & mask).astype(np.int32)
+        key >>= shift
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        if classes is None:
+            classes, shorter = new.copy(), np.ones(n, bool)
+            key //= U64(radix)
+            np.not_equal(key[1:], key[:-1], out=shorter[1:])
         if have >= depth:
-            return order
-        key >>= U64(INDEX_BITS)
+            return order, first, classes, shorter
         rank = np.empty(n, U64)
-        rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        rank[order] = np.cumsum(new, dtype=np.int32) - 1
         step = min(have, depth - have)
-        key = (rank << U64(INDEX_BITS)) | np.roll(rank, -step)
+        key = (rank << shift) | np.roll(rank, -step)
         have += step
 
 
@@ -98,32 +117,43 @@ def common_prefix_reaches(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.nda
     Breadth-first backward extension: an interval of rows that share l symbols is split by the
     symbols of the transform in it into intervals of l + 1 shared symbols. The first interval that
     ends at a row fixes that row's common prefix with the row before as l, and only such intervals
-    are expanded further. Levels end at `depth`; rows not reached share at least so much.
+    are expanded further. Levels begin with the symbols that one sorted word holds, whose intervals
+    the words themselves show, and end at `depth`; rows not reached share at least so much.
     """
-    n, shift, mask = len(t), U64(INDEX_BITS), U64((1 << INDEX_BITS) - 1)
-    order = sorted_rotations(t, depth)
-    back = np.empty(n, np.int64)
-    back[order] = np.arange(n)
-    step = back[order - 1].astype(U64)  # the row of the rotation that begins one symbol before: symbols of the transform in sorted order
+    n = len(t)
+    order, level, found, shorter = sorted_rotations(t, depth)
+    back = np.empty(n, np.int32)
+    back[order] = np.arange(n, dtype=np.int32)
+    step = back[order - 1]  # the row of the rotation that begins one symbol before: symbols of the transform in sorted order
     first = t[order]
-    found = np.zeros(n + 1, bool)
-    found[0] = found[n] = True
-    low, size = np.zeros(1, np.int64), np.array([n])
-    for _ in range(depth):
+    found, shorter = np.append(found, True), np.append(shorter, True)
+    at = np.flatnonzero(found)
+    fresh = np.flatnonzero(~shorter[at[1:]])
+    low, size = at[fresh].astype(np.int32), np.diff(at)[fresh]
+    owner, hit = np.empty(n, np.int32), np.zeros(n, bool)
+    for _ in range(level, depth):
         if not len(low):
             break
-        which = np.repeat(np.arange(len(low)), size)
-        rows = np.arange(len(which)) + np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        key = (step[rows] << shift) | which.astype(U64)
-        key.sort()
-        to, which = (key >> shift).astype(np.int64), key & mask
+        which = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        rows = np.repeat(low - (np.cumsum(size) - size).astype(np.int32), size) + np.arange(len(which), dtype=np.int32)
+        to = step[rows]
+        if len(to) > n >> 4:  # many rows are put in order by marking them, few by sorting them
+            owner[to] = which
+            hit[to] = True
+            to = np.flatnonzero(hit)
+            hit[to] = False
+            which = owner[to]
+        else:
+            key = (to.astype(np.int64) << 32) | which
+            key.sort()
+            to, which = key >> 32, key.astype(np.int32)
         symbol = first[to]
         cut = np.ones(len(to) + 1, bool)
         cut[1:-1] = (which[1:] != which[:-1]) | (symbol[1:] != symbol[:-1])
         at = np.flatnonzero(cut)
         low, size = to[at[:-1]], np.diff(at)
-        fresh = ~found[low + size]
-        low, size = low[fresh], size[fresh]
+        fresh = np.flatnonzero(~found[low + size])
+        low, size = low[fresh].astype(np.int32), size[fresh]
         found[low + size] = True
     return order, found[:n]
 
@@ -229,7 +259,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
     by_mark = bodies.groupBy("mark").agg(F.sum(F.length("body") + 1).alias("size"), F.max("copies").alias("copies"))
     large = written(by_mark.where(F.col("size") > LARGEST).select("mark"))
     total = bodies.agg(F.sum(F.length("body"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * SHARD)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
     small = bodies if large.isEmpty() else bodies.join(large, "mark", "left_anti")
     starts = small.repartition(parts, "mark").sortWithinPartitions("mark", "ctx").mapInArrow(lambda b: _expand(b, length), "mark long, ctx long, starts array<int>")
     if not large.isEmpty():
