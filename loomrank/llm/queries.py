@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomrank.session import table
 
-from . import ann, bpe, chat, langid, linededup, maxscore, minhash, mix, passages, sufdedup
+from . import ann, audit, bpe, chat, codes, langid, linededup, maxscore, minhash, mix, passages, sufdedup, urls
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,19 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", "n_shared", "n_spans", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = codes.compress(table(spark, sf_dir, "embeddings"))
+    return got.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urls.rule_table(spark)).select("page_id", "judged.*")
+
+
 OP1_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS i FROM d),
@@ -102,5 +115,5 @@ SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(m.root, s.doc_id) AS c
 FROM s LEFT JOIN c ON len(s.g) > 0 AND md5(array_to_string(s.g, chr(10))) = c.cls LEFT JOIN m ON m.v = c.rep
 """
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_mix": op3_mix, "op4_topk": op4_topk, "op5_minhash": op5_minhash, "op6_chat": op6_chat, "op7_lines": op7_lines, "op8_ann": op8_ann, "op9_langid": op9_langid, "op10_passages": op10_passages}
-ORACLE = {"op1_substrings": OP1_SQL, "op3_mix": mix.mix_sql(), "op4_topk": OP4_SQL, "op5_minhash": OP5_SQL, "op6_chat": chat.PREFERENCE_SQL, "op7_lines": linededup.lines_sql()}
+QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_mix": op3_mix, "op4_topk": op4_topk, "op5_minhash": op5_minhash, "op6_chat": op6_chat, "op7_lines": op7_lines, "op8_ann": op8_ann, "op9_langid": op9_langid, "op10_passages": op10_passages, "op11_codes": op11_codes, "op12_audit": op12_audit, "op13_urls": op13_urls}
+ORACLE = {"op1_substrings": OP1_SQL, "op3_mix": mix.mix_sql(), "op4_topk": OP4_SQL, "op5_minhash": OP5_SQL, "op6_chat": chat.PREFERENCE_SQL, "op7_lines": linededup.lines_sql(), "op11_codes": codes.codes_sql(), "op12_audit": audit.AUDIT_SQL, "op13_urls": urls.URLS_SQL}
