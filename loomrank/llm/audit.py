@@ -20,6 +20,8 @@ COPY = 1 << LETTERS.index("E")
 MASKS = 1 << len(LETTERS)
 #: Bytes of texts that a task keeps at hand while it looks for copies before the shuffle; with more it hands them on and begins anew.
 NEAR_BYTES, HELD_ROW = 16 << 20, 200
+#: Bytes of text that a partition of the shuffle is meant to get.
+ROUTED_BYTES = 32 << 20
 
 
 def own_mask(text: bytes, points: int) -> int:
@@ -115,14 +117,15 @@ def masks(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str =
     """Rows (id, part, mask, n): n documents of an id and part fail the filters of mask.
 
     Texts are routed by their 64-bit xxhash to partitions, which Spark sorts by (hash, id), spilling
-    to disk, so that a task holds the chain of one hash at a time and no group of copies. There are
-    four partitions for each of the scan.
+    to disk, so that a task holds the chain of one hash at a time and no group of copies. Their
+    number follows the bytes of all texts, ROUTED_BYTES for each at most if none had copies.
 
     Nulls: a null text is an empty one, a null part the empty string. A row of null id is no copy
     and has none. Rows equal in id and text aren't copies of each other.
     """
     rows = docs.select(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.col(f"`{key}`").cast("long"), F.coalesce(F.col(f"`{part}`"), F.lit("")), F.coalesce(F.col(f"`{text}`"), F.lit(""))).rdd
-    n = max(4 * rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    n = max(-(-size // ROUTED_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     routed = rows.mapPartitions(_near).repartitionAndSortWithinPartitions(n, _route)
     got = docs.sparkSession.createDataFrame(routed.mapPartitions(_settled), "id long, part string, mask int, n long", verifySchema=False)
     return got.groupBy("id", "part", "mask").agg(F.sum("n").alias("n"))
