@@ -83,11 +83,11 @@ def fit_normaliser(frame: DataFrame, value: str, *key: str) -> DataFrame:
     return x.withColumns({"mean": checked(F.col("n") > 0, F.col("mean"), "no finite value"), "std": F.when(F.col("std") > 1e-12, F.col("std")).otherwise(1.0)})
 
 
-def pass_counters(raw: DataFrame, locale: str) -> DataFrame:
-    """Rows seen, dropped by reason, kept, and share of books among the kept."""
+def pass_counters(raw: DataFrame, locale: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Rows seen, dropped by reason, kept, and share of books among the kept, of all rows or of each group."""
     other, error = F.col("locale") != locale, F.col("type") == "error"
     kept = ~other & ~error
-    return raw.agg(F.count("*").alias("seen"), F.count_if(other).alias("other_locale"), F.count_if(~other & error).alias("errors"), F.count_if(kept).alias("kept"),
+    return raw.groupBy(*by).agg(F.count("*").alias("seen"), F.count_if(other).alias("other_locale"), F.count_if(~other & error).alias("errors"), F.count_if(kept).alias("kept"),
                    F.try_divide(F.count_if(kept & (F.col("type") == "book")), F.count_if(kept)).alias("book_share"))
 
 

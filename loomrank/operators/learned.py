@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomrank.session import scratch
+
 from .ranking import rank_by
 
 MISSING = -1e6  # trees of pyspark.ml take no null: an absent value is a number below all others
@@ -67,7 +68,10 @@ def train_selector(frame: DataFrame, features: list[str], arms: list[str], trees
     """A forest that predicts which arm serves a query best; returns a router of frames (column `arm`)."""
     seats = F.array(*[F.lit(a) for a in arms])
     x = assembled(frame.withColumn("label", (F.array_position(seats, F.col("arm")) - 1).cast("double")), features)
-    model: PipelineModel = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(x)
+    path = scratch(frame.sparkSession)
+    RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(x).save(path)
+    # read back, as a fitted model's summary holds the session, which can't go to tasks once a frame was observed
+    model = RandomForestClassificationModel.load(path)
     return lambda y: model.transform(assembled(y, features)).withColumn("arm", F.get(seats, F.col("prediction").cast("int"))).drop("features", "rawPrediction", "probability", "prediction")
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomrank.functions.checks import checked
 from loomrank.functions.numeric import dcg_term
+from loomrank.functions.text import fold_of
+from loomrank.session import stored
 
 from .ranking import by_query, rank_by
 
@@ -40,13 +42,24 @@ def random_floor(frame: DataFrame, gain: str = "gain") -> DataFrame:
 
 
 def random_runs(frame: DataFrame, trials: int = 100, seed: int = SEED, gain: str = "gain") -> DataFrame:
-    """G1: mean NDCG of each of `trials` seeded random orders (trial, mean_ndcg). Rows times trials, each shuffled by (query, trial)."""
-    t = frame.select("query_id", "product_id", F.col(gain).alias("g")).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    key = F.xxhash64(F.lit(seed), "trial", "query_id", "product_id")
-    w = W.partitionBy("query_id", "trial")
-    x = t.select("query_id", "trial", "g", F.row_number().over(w.orderBy(key, "product_id")).alias("r"), F.row_number().over(w.orderBy(F.col("g").desc())).alias("i"))
-    per = x.groupBy("query_id", "trial").agg(F.sum(dcg_term(F.col("g"), F.col("r"))).alias("d"), F.sum(dcg_term(F.col("g"), F.col("i"))).alias("m"))
-    return per.groupBy("trial").agg(F.avg(F.when(F.col("m") > 0, F.col("d") / F.col("m")).otherwise(F.lit(0.0))).alias("mean_ndcg"))
+    """G1: mean NDCG of each of `trials` seeded random orders (trial, mean_ndcg).
+
+    A query's judged documents come together once, as the list that every trial shuffles by a hash
+    of (seed, trial, query, document); trials are summed map-side, so one shuffle moves the
+    rows and another a number a trial.
+    """
+    told = F.struct(F.col("product_id").cast("string").alias("id"), F.col(gain).cast("double").alias("g"))
+    per = frame.groupBy("query_id").agg(F.collect_list(told).alias("docs"))
+    dcg = lambda gains: F.aggregate(F.transform(gains, lambda g, i: g / F.log2(i + 2)), F.lit(0.0), lambda a, x: a + x)
+    best = dcg(F.sort_array(F.col("docs.g"), asc=False))
+    query = F.concat(F.lit(":"), F.col("query_id").cast("string"), F.lit(":"))
+
+    def trial(t):
+        head = F.concat(F.lit(f"{seed}:"), t.cast("string"), query)
+        return dcg(F.transform(F.array_sort(F.transform("docs", lambda d: F.struct(F.md5(F.concat(head, d["id"])).alias("k"), d["id"].alias("id"), d["g"].alias("g")))), lambda d: d["g"]))
+
+    x = per.select(best.alias("best"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), trial)).alias("trial", "dcg"))
+    return x.groupBy("trial").agg(F.avg(F.when(F.col("best") > 0, F.col("dcg") / F.col("best")).otherwise(F.lit(0.0))).alias("mean_ndcg"))
 
 
 def floor_interval(runs: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -63,24 +76,51 @@ def paired(a: DataFrame, b: DataFrame, value: str = "ndcg") -> DataFrame:
     return x.select("query_id", "a", "b", checked(both, F.col("a") - F.col("b"), "the arms have different queries").alias("delta"))
 
 
-def _resampled(values: np.ndarray, n: int, seed: int) -> np.ndarray:
-    draw = np.random.default_rng(seed)
-    return np.array([values[draw.integers(0, len(values), len(values))].mean() for _ in range(n)])
+#: Of one SHA-256 every 8 hex digits draw a weight.
+_DRAWS = 8
 
 
-def bootstrap(per_query: DataFrame, value: str = "ndcg", arm: str | None = None, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """Mean of a value over queries with a percentile interval, per arm.
+def poisson_steps(most: int = 13) -> list[int]:
+    """Where a 32-bit number passes to the next weight: 2^32 times the chances that a Poisson number of mean 1 is at most 0, 1, 2, ..."""
+    total, term, out = 0.0, math.exp(-1), []
+    for k in range(most):
+        total += term
+        out.append(int(total * 2**32))
+        term /= k + 1
+    return out
+
 
-    Resampling draws from all queries of an arm with the same draws for each; an arm is one number a
-    query, a few hundred MB for a hundred million, and is the only group that one task holds.
+def replicates(frame: DataFrame, key: str, n: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """Adds rep and w to every row: rep -1 with weight 1, the sample itself, and n replicates whose weights are Poisson numbers of mean 1, drawn by a hash of (seed, key).
+
+    Rows of one key weigh the same in a replicate, whatever arm they belong to, so differences are
+    paired. Rows of weight 0 are left out. Nothing is shuffled: sums by replicate are merged map-side.
     """
-    def one(x: pd.DataFrame) -> pd.DataFrame:
-        v = x.sort_values("query_id")["v"].to_numpy()
-        low, high = np.quantile(_resampled(v, n, seed), [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame({"arm": [x["arm"].iloc[0]], "point": [v.mean()], "low": [low], "high": [high], "n": [len(v)]})
+    blocks = F.sequence(F.lit(0), F.lit(-(-n // _DRAWS) - 1))
+    x = frame.withColumn("_block", F.explode(blocks)).withColumn("_hex", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("_block").cast("string"), F.lit(":"), F.col(key).cast("string")), 256))
+    draws = F.array(*[F.struct((F.col("_block") * _DRAWS + i).alias("rep"), F.conv(F.substring("_hex", 8 * i + 1, 8), 16, 10).cast("long").alias("u")) for i in range(_DRAWS)])
+    x = x.select(*frame.columns, F.explode(draws).alias("_d")).select(*frame.columns, F.col("_d.rep").alias("rep"), F.col("_d.u").alias("_u")).where(F.col("rep") < n)
+    weight = sum((F.when(F.col("_u") >= step, 1).otherwise(0) for step in poisson_steps()), F.lit(0))
+    drawn = x.withColumn("w", weight).drop("_u").where("w > 0")
+    return drawn.unionByName(frame.withColumns({"rep": F.lit(-1), "w": F.lit(1)}))
+
 
-    x = per_query.select((F.col(arm) if arm else F.lit("all")).alias("arm"), F.col("query_id").cast("string").alias("query_id"), F.col(value).cast("double").alias("v"))
-    return x.groupBy("arm").applyInPandas(one, "arm string, point double, low double, high double, n long")
+def _interval(value: str, alpha: float) -> list:
+    """The sample's own value and the percentiles of the replicates', between neighbours in proportion; n + 1 rows a group."""
+    drawn = F.when(F.col("rep") >= 0, F.col(value))
+    return [F.max(F.when(F.col("rep") < 0, F.col(value))).alias("point"), F.percentile(drawn, F.lit(alpha / 2)).alias("low"), F.percentile(drawn, F.lit(1 - alpha / 2)).alias("high")]
+
+
+def bootstrap(per_query: DataFrame, value: str = "ndcg", arm: str | None = None, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """(arm, point, low, high, n): mean of a value over queries with a percentile interval, per arm.
+
+    A replicate weighs every query by a Poisson number, which is what drawing queries with
+    replacement comes to for many queries; its mean is that of the weighted values. An arm's sums
+    for a replicate are merged from partial ones, so no task holds an arm. Null values don't count.
+    """
+    x = per_query.select((F.col(arm) if arm else F.lit("all")).alias("arm"), F.col("query_id"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    runs = replicates(x, "query_id", n, seed).groupBy("arm", "rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"), F.count("*").alias("c"))
+    return runs.groupBy("arm").agg(*_interval("m", alpha), F.max(F.when(F.col("rep") < 0, F.col("c"))).alias("n"))
 
 
 def cluster_sums(values: DataFrame, cluster: str = "query_id", side: str = "present", value: str = "gain") -> DataFrame:
@@ -90,20 +130,12 @@ def cluster_sums(values: DataFrame, cluster: str = "query_id", side: str = "pres
 
 
 def cluster_bootstrap(values: DataFrame, cluster: str = "query_id", side: str = "present", value: str = "gain", n: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """Difference of the two sides' means, clusters drawn whole; replicates without one side are dropped."""
-    def one(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("k").fillna(0.0)
-        m = x[["sum_in", "n_in", "sum_out", "n_out"]].to_numpy(float)
-        draw = np.random.default_rng(seed)
-        total = np.array([m[draw.integers(0, len(m), len(m))].sum(axis=0) for _ in range(n)])
-        with np.errstate(invalid="ignore", divide="ignore"):
-            delta = total[:, 0] / total[:, 1] - total[:, 2] / total[:, 3]
-        delta, s = delta[np.isfinite(delta)], m.sum(axis=0)
-        low, high = np.quantile(delta, [alpha / 2, 1 - alpha / 2]) if len(delta) else (np.nan, np.nan)
-        return pd.DataFrame({"point": [s[0] / s[1] - s[2] / s[3] if s[1] and s[3] else np.nan], "low": [low], "high": [high]})
-
-    x = cluster_sums(values, cluster, side, value).withColumns({"k": F.col(cluster).cast("string"), "all": F.lit(1)})
-    return x.groupBy("all").applyInPandas(one, "point double, low double, high double")
+    """(point, low, high): difference of the two sides' means, clusters weighed whole; replicates without one side are left out."""
+    sums = cluster_sums(values, cluster, side, value).withColumnRenamed(cluster, "query_id")
+    runs = replicates(sums, "query_id", n, seed).groupBy("rep").agg(*[F.sum(F.col("w") * F.coalesce(F.col(c), F.lit(0))).alias(c) for c in ("sum_in", "n_in", "sum_out", "n_out")])
+    mean = lambda s: F.try_divide(F.col(f"sum_{s}"), F.col(f"n_{s}"))
+    runs = runs.select("rep", (mean("in") - mean("out")).alias("delta"))
+    return runs.agg(*_interval("delta", alpha))
 
 
 def verdict(intervals: DataFrame) -> DataFrame:
@@ -154,11 +186,33 @@ def gate(comparisons: DataFrame) -> DataFrame:
     return comparisons.where("low > 0").agg(F.max_by("arm", F.struct("low", "arm")).alias("arm"), F.max("low").alias("low"))
 
 
-def cross_fit(frame: DataFrame, parts: int, fit, predict, key: str = "query_id", seed: str = "parts") -> DataFrame:
-    """Every row scored by a model that never saw its query. fit(df) -> model, predict(model, df) -> df. One pair of jobs a part."""
-    dealt = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(parts)).cast("int")
-    x, out = frame.withColumn("part", dealt), None
+def query_parts(frame: DataFrame, parts: int, key: str = "query_id", seed: str = "parts/v1") -> DataFrame:
+    """Adds part, from 0, dealt by a seeded hash of the query: the same for all its rows and in every run."""
+    return frame.withColumn("part", fold_of(F.col(key), seed, parts))
+
+
+def cross_fit(frame: DataFrame, parts: int, fit, predict, key: str = "query_id", seed: str = "parts/v1") -> DataFrame:
+    """Every row scored by a model that never saw its query. fit(df) -> model, predict(model, df) -> df. One pair of jobs a part."""
+    x, out = query_parts(frame, parts, key, seed), None
     for p in range(parts):
         scored = predict(fit(x.where(F.col("part") != p)), x.where(F.col("part") == p))
         out = scored if out is None else out.unionByName(scored)
     return out
+
+
+def ndcg_and_floor(frame: DataFrame, score: str = "run_score", gain: str = "gain") -> DataFrame:
+    """A5, G2 in one pass: (query_id, ndcg, floor, n_docs); the judgements are shuffled and ranked once."""
+    x = frame.select("query_id", F.col(gain).alias("g"), rank_by(score).alias("r"), F.row_number().over(by_query(F.col(gain).desc())).alias("i"))
+    per = x.groupBy("query_id").agg(F.sum(dcg_term(F.col("g"), F.col("r"))).alias("dcg"), F.sum(dcg_term(F.col("g"), F.col("i"))).alias("idcg"),
+                                    F.avg("g").alias("mean_gain"), F.sum(1.0 / F.log2(F.col("i") + 1)).alias("discounts"), F.count("*").alias("n_docs"))
+    share = lambda c: F.when(F.col("idcg") > 0, c / F.col("idcg")).otherwise(F.lit(0.0))
+    return per.select("query_id", share(F.col("dcg")).alias("ndcg"), share(F.col("mean_gain") * F.col("discounts")).alias("floor"), "n_docs")
+
+
+def report(frame: DataFrame, score: str, arm: str, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """Two rows, of the arm and of its lift over the random floor: mean, interval, queries, and the mean floor. The lift is paired: both lie in a query's one row."""
+    per = ndcg_and_floor(frame, score)
+    both = per.select("query_id", "floor", F.explode(F.array(F.struct(F.lit(arm).alias("arm"), F.col("ndcg").alias("v")), F.struct(F.lit("lift").alias("arm"), (F.col("ndcg") - F.col("floor")).alias("v")))).alias("x"))
+    both = stored(both.select("query_id", "floor", "x.arm", "x.v"))
+    floor = both.where(F.col("arm") == "lift").agg(F.avg("floor").alias("floor"))
+    return bootstrap(both, "v", "arm", n, alpha, seed).withColumn("floor", floor.scalar())

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomrank.functions.checks import holds
+from loomrank.session import stored
 
 RRF_K = 60
 TOP = 10
@@ -97,16 +98,38 @@ def margin(frame: DataFrame, score: str) -> DataFrame:
     return frame.groupBy("query_id").agg(F.coalesce(F.get(top, F.lit(0)) - F.get(top, F.lit(1)), F.lit(0.0)).alias("margin"))
 
 
-def run_lengths(frame: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Lengths of runs of equal keys in the given order (gaps and islands).
+def run_lengths(frame: DataFrame, key: str, order: list[str], once: bool = False, partitions: int | None = None) -> DataFrame:
+    """(run, key, n): lengths of runs of equal keys in the given order (gaps and islands), numbered from 1.
 
-    The order is global by definition, so rows are numbered by a sort over all; use groupBy where
-    runs needn't be contiguous.
+    Rows are ranged by the order into partitions, each of which finds its own runs; then only
+    the first and last run of each partition meet, and those of equal keys that touch become one. A
+    key of null is a key. With once, a key that stands in two runs raises when the rows are read: what trains
+    on runs as groups would compare documents of different queries.
     """
-    w = W.orderBy(*order)
-    new = (~F.col(key).eqNullSafe(F.lag(key).over(w))).cast("int")
-    x = frame.select(key, *[c for c in order if c != key]).withColumn("_new", new).withColumn("run", F.sum("_new").over(w))
-    return x.groupBy("run", key).agg(F.count("*").alias("n"))
+    n = partitions or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = frame.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    names = [f"_o{i}" for i in range(len(order))]
+    x = stored(x.repartitionByRange(n, *names).withColumn("_p", F.spark_partition_id()))
+    w = W.partitionBy("_p").orderBy(*names)
+    new = F.when(F.row_number().over(w) == 1, 1).otherwise((~F.col("_k").eqNullSafe(F.lag("_k").over(w))).cast("int"))
+    runs = x.withColumn("_new", new).withColumn("_i", F.sum("_new").over(w)).groupBy("_p", "_i").agg(F.first("_k").alias("_k"), F.count("*").alias("n"))
+    runs = stored(runs.withColumn("_last", F.max("_i").over(W.partitionBy("_p"))))
+    # a partition gives two rows at most to the one window over all of them
+    edge = (F.col("_i") == 1) | (F.col("_i") == F.col("_last"))
+    across = W.orderBy("_p", "_i")
+    touches = F.lag("_p").over(across).isNotNull() & (F.col("_p") != F.lag("_p").over(across)) & F.col("_k").eqNullSafe(F.lag("_k").over(across))
+    edges = runs.where(edge).withColumn("_head", F.sum((~touches).cast("int")).over(across)).groupBy("_head").agg(F.min(F.struct("_p", "_i")).alias("at"), F.first("_k").alias("_k"), F.sum("n").alias("n"))
+    out = runs.where(~edge).select(F.struct("_p", "_i").alias("at"), "_k", "n").unionByName(edges.select("at", "_k", "n"))
+    # runs before a partition's are numbered by sums of counts, a row a partition
+    per = out.groupBy(F.col("at._p").alias("_p")).agg(F.count("*").alias("c"))
+    before = per.select("_p", (F.sum("c").over(W.orderBy("_p")) - F.col("c")).alias("before"))
+    place = F.row_number().over(W.partitionBy("at._p").orderBy("at._i"))
+    out = out.withColumn("_place", place).withColumn("_p", F.col("at._p")).join(F.broadcast(before), "_p")  # a row a partition
+    out = out.select((F.col("before") + F.col("_place")).alias("run"), F.col("_k").alias(key), "n")
+    if not once:
+        return out
+    twice = F.count("*").over(W.partitionBy(key))
+    return out.withColumn("_c", twice).where(holds(F.col("_c") == 1, f"a {key} stands in two runs")).drop("_c")
 
 
 def hash_sample(ids: DataFrame, n: int, seed: str, key: str = "query_id") -> DataFrame:

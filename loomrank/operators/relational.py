@@ -112,9 +112,19 @@ def mixed_pairs(window: DataFrame) -> DataFrame:
     return a.join(b, "query_id").where("a_position < b_position AND a_gain <> b_gain")
 
 
-def pairwise_accuracy(window: DataFrame) -> DataFrame:
-    """Share of mixed pairs in the right order."""
-    return mixed_pairs(window).agg(F.avg(F.when(F.col("a_gain") > F.col("b_gain"), 1.0).otherwise(0.0)).alias("accuracy"), F.count("*").alias("n_pairs"))
+def pairwise_accuracy(window: DataFrame, grades=tuple(GAINS.values())) -> DataFrame:
+    """Share of the pairs of a query with different gains and places that stand in the right order, and their number.
+
+    For each document the ones before it are counted by grade, running over one window, and so the
+    pairs that it closes: no pair is made, and a list may be as long as it likes. A
+    document without gain is in no pair; another grade raises when it is read.
+    """
+    before = W.partitionBy("query_id").orderBy("position").rangeBetween(W.unboundedPreceding, -1)
+    fine = window.where(holds(F.col("gain").isNull() | F.col("gain").isin(*grades), "a gain that is no grade"))
+    x = fine.withColumns({f"_n{i}": F.count(F.when(F.col("gain") == g, 1)).over(before) for i, g in enumerate(grades)})
+    total = lambda fits: sum((F.when(fits(F.lit(g)), F.col(f"_n{i}")).otherwise(0) for i, g in enumerate(grades)), F.lit(0))
+    pairs = x.agg(F.sum(total(lambda g: g > F.col("gain"))).alias("right"), F.sum(total(lambda g: g != F.col("gain"))).alias("n_pairs"))
+    return pairs.select(F.try_divide(F.col("right"), F.col("n_pairs")).alias("accuracy"), F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"))
 
 
 def newly_over(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomrank.functions import nested, numeric, text
+from loomrank.functions import nested, numeric, stemming, text
 from loomrank.operators import aggregates as agg
-from loomrank.operators import features, metrics, ranking, relational, retrieval
-from loomrank.session import table
+from loomrank.operators import bm25, features, metrics, ranking, relational, retrieval
+from loomrank.session import scratch, table
 from loomrank.sources import readers, writers
 
 from . import views as v
@@ -255,22 +255,41 @@ qt AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, u
 sc AS (SELECT query_id, doc_id, sum(impact * qtf) AS bm25_score FROM qt JOIN im USING (term) GROUP BY ALL)"""
 
 
-def _bm25(s, d):
-    docs, t = table(s, d, "documents").select("doc_id", "text"), F.col("text")
-    impacts = retrieval.weighted_postings(retrieval.postings(docs, "doc_id", t), retrieval.document_stats(docs, t))
-    return retrieval.query_terms(table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), t), impacts
+def _index(s, d, stemmed=False):
+    return bm25.build(table(s, d, "documents").select("doc_id", "text"), "doc_id", F.col("text"), scratch(s), stemmed)
+
+
+def _asked(s, d):
+    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @add("j23_bm25_pairs", f"WITH {BM25}, pr AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark, documents WHERE doc_id % 50 = item_id % 50) SELECT query_id, doc_id, round(coalesce(bm25_score, 0), 6) AS bm25_score FROM pr LEFT JOIN sc USING (query_id, doc_id)")
 def _(s, d):
-    terms, impacts = _bm25(s, d)
     pairs = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 50).alias("m")).join(table(s, d, "documents").select("doc_id", (F.col("doc_id") % 50).alias("m")), "m").select("query_id", "doc_id").distinct()
-    return retrieval.bm25_scores(terms, impacts, "doc_id", pairs).select("query_id", "doc_id", F.round("bm25_score", 6).alias("bm25_score"))
+    return bm25.of_pairs(_index(s, d), _asked(s, d), F.col("text"), pairs).select("query_id", "doc_id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
 @add("t3_bm25_top", f"WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25_score, 9) DESC, doc_id) AS rank FROM sc WHERE bm25_score > 0) SELECT query_id, doc_id, rank, round(bm25_score, 6) AS bm25_score FROM r WHERE rank <= 10")
 def _(s, d):
-    return retrieval.bm25_top(*_bm25(s, d), "doc_id", 10).select("query_id", "doc_id", "rank", F.round("bm25_score", 6).alias("bm25_score"))
+    return bm25.top(_index(s, d), _asked(s, d), F.col("text"), 10).select("query_id", "doc_id", "rank", F.round("bm25_score", 6).alias("bm25_score"))
+
+
+STEMS = f"""voc AS (SELECT unnest({TOKENS}) AS term FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)),
+{stemming.stem_sql("voc", "st")}"""
+
+
+@add("l14_stems", f"WITH {STEMS} SELECT term, stem FROM st")
+def _(s, d):
+    texts = table(s, d, "documents").select("text").union(table(s, d, "benchmark").select("text"))
+    return stemming.stems(texts.select(F.explode(retrieval.term_list(F.col("text"))).alias("term")))
+
+
+@add("l14_t3_stemmed_bm25", f"""WITH {STEMS}, {BM25.replace("st AS (SELECT count(*)", "ct AS (SELECT count(*)").replace("USING (term), st)", "USING (term), ct)")
+    .replace("x AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM d)", "x0 AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM d), x AS (SELECT doc_id, dl, stem AS term FROM x0 JOIN st USING (term))")
+    .replace("SELECT item_id AS query_id, term, count(*) AS qtf FROM (", "SELECT item_id AS query_id, stem AS term, count(*) AS qtf FROM (").replace("FROM benchmark) GROUP BY ALL)", "FROM benchmark) JOIN st USING (term) GROUP BY ALL)")},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25_score, 9) DESC, doc_id) AS rank FROM sc WHERE bm25_score > 0) SELECT query_id, doc_id, rank, round(bm25_score, 6) AS bm25_score FROM r WHERE rank <= 10""")
+def _(s, d):
+    return bm25.top(_index(s, d, stemmed=True), _asked(s, d), F.col("text"), 10).select("query_id", "doc_id", "rank", F.round("bm25_score", 6).alias("bm25_score"))
 
 
 @add("k8_postings", f"WITH {BM25} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM po GROUP BY term")
@@ -527,9 +546,9 @@ def _(s, d):
     return x.select(*KEY, F.round("fused", 12).alias("fused"), "fused_rank")
 
 
-@add("w11_k4_trec_lines", f"WITH {v.J} SELECT query_id, query_id || ' 0 ' || product_id || ' ' || qrel AS value FROM j")
+@add("w11_k4_trec_lines", f"""WITH {v.J} SELECT query_id, query_id || ' Q0 ' || product_id || ' ' || row_number() OVER (PARTITION BY query_id ORDER BY stage2_score DESC, product_id) || ' ' || stage2_score::VARCHAR || ' run1' AS value FROM j""")
 def _(s, d):
-    return writers.qrel_lines(v.judgements(s, d)).select("query_id", "value")
+    return writers.trec_lines(v.judgements(s, d), "run1", "stage2_score").select("query_id", "value")
 
 
 @add("w12_x10_targets", f"""WITH {v.S} SELECT query_id, product_id, gain AS target_labels, (count(*) OVER q - row_number() OVER (PARTITION BY query_id ORDER BY llm_rank, product_id))::DOUBLE AS target_llm,
@@ -773,31 +792,52 @@ def _(s, d):
     return metrics.random_floor(v.judgements(s, d)).select("query_id", *r9("floor"))
 
 
-@add("g1_a19_floor_trials")
+@add("g1_a19_floor_trials", f"""WITH {v.S}, x AS (SELECT query_id, product_id, gain, trial FROM s, (SELECT unnest(range(100)) AS trial)),
+  y AS (SELECT query_id, trial, gain, row_number() OVER (PARTITION BY query_id, trial ORDER BY md5('{metrics.SEED}:' || trial || ':' || query_id || ':' || product_id), product_id) AS r, row_number() OVER (PARTITION BY query_id, trial ORDER BY gain DESC) AS i FROM x),
+  pq AS (SELECT trial, query_id, CASE WHEN sum(gain) > 0 THEN sum(gain / log2(r + 1)) / sum(gain / log2(i + 1)) ELSE 0 END AS n FROM y GROUP BY ALL), t AS (SELECT trial, avg(n) AS m FROM pq GROUP BY trial), o AS (SELECT list(m ORDER BY m) AS o, avg(m) AS point FROM t)
+  SELECT round(point, 9) AS point, round(o[floor(0.025 * 99)::INT + 1], 9) AS low, round(o[floor(0.975 * 99)::INT + 1], 9) AS high FROM o""")
 def _(s, d):
-    return metrics.floor_interval(metrics.random_runs(v.signals(s, d), 100))
+    return metrics.floor_interval(metrics.random_runs(v.signals(s, d), 100)).select(*r9("point", "low", "high"))
+
+
+def replicates_sql(source: str, key: str, more: str) -> str:
+    """(more, rep, w) of metrics.replicates() over a source."""
+    steps = " + ".join(f"(u >= {x})::INT" for x in metrics.poisson_steps())
+    return f"""SELECT {more}, rep, w FROM (SELECT {more}, rep, {steps} AS w FROM (SELECT {more}, block * 8 + i AS rep, ('0x' || substr(h, 8 * i + 1, 8))::UBIGINT AS u
+    FROM (SELECT {more}, block, sha256('{metrics.SEED}:' || block || ':' || {key}) AS h FROM {source}, (SELECT unnest(range({-(-metrics.RESAMPLES // 8)})) AS block)), (SELECT unnest(range(8)) AS i)) WHERE rep < {metrics.RESAMPLES}) WHERE w > 0"""
+
+
+def bootstrap_sql(source: str, name: str) -> str:
+    """CTE `name` (arm, point, low, high, n) of metrics.bootstrap() over a source (arm, query_id, v)."""
+    return f"""{name}_r AS (SELECT arm, rep, sum(w * v) / sum(w) AS m FROM ({replicates_sql(source, 'query_id', 'arm, query_id, v')}) GROUP BY arm, rep),
+{name} AS (SELECT arm, point, low, high, n FROM (SELECT arm, avg(v) AS point, count(*) AS n FROM {source} GROUP BY arm) JOIN (SELECT arm, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM {name}_r GROUP BY arm) USING (arm))"""
 
 
-@add("g3_bootstrap")
+@add("g3_bootstrap", f"WITH {v.ARMS}, av AS (SELECT arm, query_id, ndcg AS v FROM arms), {bootstrap_sql('av', 'b')} SELECT arm, round(point, 9) AS point, round(low, 9) AS low, round(high, 9) AS high, n FROM b")
 def _(s, d):
-    return metrics.bootstrap(v.arms(s, d), arm="arm")
+    return metrics.bootstrap(v.arms(s, d), arm="arm").select("arm", *r9("point", "low", "high"), "n")
 
 
-@add("g4_g6_paired_verdict")
+@add("g4_g6_paired_verdict", f"""WITH {v.ARMS}, av AS (SELECT 'all' AS arm, a.query_id, a.ndcg - b.ndcg AS v FROM n2 a JOIN n1 b USING (query_id)), {bootstrap_sql('av', 'b')}
+  SELECT arm, round(point, 9) AS point, round(low, 9) AS low, round(high, 9) AS high, n, CASE WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'not separable' END AS verdict FROM b""")
 def _(s, d):
-    return metrics.verdict(metrics.bootstrap(relational_paired(v.arms(s, d)), "delta"))
+    return metrics.verdict(metrics.bootstrap(relational_paired(v.arms(s, d)), "delta")).select("arm", *r9("point", "low", "high"), "n", "verdict")
 
 
-@add("g5_cluster_bootstrap")
+@add("g5_cluster_bootstrap", f"""WITH {v.J}, {v.P}, pr AS (SELECT query_id, gain, coalesce(s_stars IS NOT NULL, false) AS present FROM j LEFT JOIN c ON product_id = asin),
+  cs AS (SELECT query_id, coalesce(sum(gain) FILTER (present), 0) AS si, count(*) FILTER (present) AS ni, coalesce(sum(gain) FILTER (NOT present), 0) AS so, count(*) FILTER (NOT present) AS no FROM pr GROUP BY query_id),
+  r AS (SELECT rep, sum(w * si) / nullif(sum(w * ni), 0) - sum(w * so) / nullif(sum(w * no), 0) AS m FROM ({replicates_sql('cs', 'query_id', 'query_id, si, ni, so, no')}) GROUP BY rep)
+  SELECT (SELECT round(avg(gain) FILTER (present) - avg(gain) FILTER (NOT present), 9) FROM pr) AS point, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM r""")
 def _(s, d):
-    return metrics.cluster_bootstrap(_presence(s, d))
+    return metrics.cluster_bootstrap(_presence(s, d)).select(*r9("point", "low", "high"))
 
 
-@add("g7_g8_report", f"WITH {v.ARMS}, {v.ndcg_sql('j', 'stage2_score', 'n')}, {FLOOR.split(', x AS', 1)[1].join(['x AS', ''])} SELECT round(avg(ndcg), 9) AS ndcg, round(avg(floor), 9) AS floor, round(avg(ndcg - floor), 9) AS lift, count(*) AS n FROM n JOIN fl USING (query_id)")
+@add("g7_g8_report", f"""WITH {v.ARMS}, {v.ndcg_sql('j', 'stage2_score', 'n')}, {FLOOR.split(', x AS', 1)[1].join(['x AS', ''])},
+  av AS (SELECT 'stage2' AS arm, query_id, ndcg AS v FROM n UNION ALL SELECT 'lift', query_id, ndcg - floor FROM n JOIN fl USING (query_id)), {bootstrap_sql('av', 'b')}
+  SELECT arm, round(point, 9) AS point, round(low, 9) AS low, round(high, 9) AS high, n, (SELECT round(avg(floor), 9) FROM fl) AS floor FROM b""")
 def _(s, d):
-    j = v.judgements(s, d)
-    x = metrics.ndcg_per_query(j, "stage2_score").join(metrics.random_floor(j), "query_id")
-    return x.agg(F.round(F.avg("ndcg"), 9).alias("ndcg"), F.round(F.avg("floor"), 9).alias("floor"), F.round(F.avg(F.col("ndcg") - F.col("floor")), 9).alias("lift"), F.count("*").alias("n"))
+    got = metrics.report(v.judgements(s, d), "stage2_score", "stage2")
+    return got.select("arm", *r9("point", "low", "high"), "n", *r9("floor"))
 
 
 SWEEP = BLEND + """, wt AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS weight), b AS (SELECT weight, query_id, product_id, gain, CASE WHEN image_z IS NULL THEN text_z ELSE weight * text_z + (1 - weight) * image_z END AS s FROM z, wt),
@@ -826,12 +866,16 @@ def _(s, d):
     return metrics.selector_targets(v.arms(s, d), 1e-9)
 
 
-@add("g15_query_parts", f"WITH {v.J} SELECT query_id, (('0x' || substr(sha256('val-folds/v1:' || query_id), 1, 16))::UBIGINT % 5)::INT % 2 AS part, count(*) AS n FROM j GROUP BY ALL")
+PART = "(('0x' || substr(sha256('parts/v1:' || query_id), 1, 16))::UBIGINT % 3)::INT"
+
+
+@add("g15_query_parts", f"WITH {v.J} SELECT query_id, {PART} AS part, count(*) AS n FROM j GROUP BY ALL")
 def _(s, d):
-    return v.folded(s, d).groupBy("query_id", (F.col("fold") % 2).alias("part")).agg(F.count("*").alias("n"))
+    return metrics.query_parts(v.judgements(s, d), 3).groupBy("query_id", "part").agg(F.count("*").alias("n"))
 
 
-@add("g16_cross_fit")
+@add("g16_cross_fit", f"""WITH {v.S}, y AS (SELECT *, {PART} AS part FROM s), m AS (SELECT p.part, label, avg(ce_score) AS m FROM (SELECT unnest(range(3)) AS part) p JOIN y ON y.part <> p.part GROUP BY p.part, label)
+  SELECT query_id, product_id, round(m, 6) AS m FROM y JOIN m USING (part, label)""")
 def _(s, d):
     fit = lambda x: x.groupBy("label").agg(F.avg("ce_score").alias("m"))
     return metrics.cross_fit(v.signals(s, d), 3, fit, lambda m, x: x.join(F.broadcast(m), "label")).select(*KEY, F.round("m", 6).alias("m"))
@@ -882,9 +926,8 @@ FLAGSHIP_SQL = f"WITH {NDCG}, {FLOOR.split(', x AS', 1)[1].join(['x AS', ''])} S
 @add("flagship_ndcg_by_segment", FLAGSHIP_SQL)
 def flagship(s, d):
     """Mean NDCG and random floor of the queries of each market segment."""
-    j = v.judgements(s, d)
-    x = metrics.ndcg_per_query(j, "stage2_score").join(metrics.random_floor(j), "query_id")
+    x = metrics.ndcg_and_floor(v.judgements(s, d), "stage2_score")
     seg = table(s, d, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_mktsegment").alias("segment"))
     return x.join(seg, "query_id").groupBy("segment").agg(F.count("*").alias("n_queries"), F.round(F.avg("ndcg"), 9).alias("ndcg"), F.round(F.avg("floor"), 9).alias("floor"))
 
-from . import rows  # noqa: E402, F401  registers more
+from . import rows, training, trips  # noqa: E402, F401  registers more

@@ -22,6 +22,19 @@ def _events(s, d):
     return table(s, d, "events").select("event_id", "user_id", "value")
 
 
+def _deltas(s, d):
+    arms = v.arms(s, d)
+    base = arms.where("arm = 'stage2'").select("query_id", F.col("ndcg").alias("b"))
+    return arms.where("arm <> 'stage2'").join(base, "query_id").select("query_id", "arm", (F.col("ndcg") - F.col("b")).alias("delta"))
+
+
+def _shifts(s, d):
+    """How far two fields lie apart, and a mean from its reproduction out of the means of groups."""
+    x = table(s, d, "lineitem").groupBy("l_returnflag").agg(F.avg("l_discount").alias("m"), F.count("*").alias("n"), F.sum("l_discount").alias("sd"), F.sum("l_tax").alias("st"))
+    y = x.agg(F.sum("sd").alias("sd"), F.sum("st").alias("st"), F.sum("n").alias("n"), F.sum(F.col("m") * F.col("n")).alias("again"))
+    return y.select(F.round((F.col("sd") - F.col("st")) / F.col("n"), 9).alias("shift"), F.round(F.col("again") / F.col("n") - F.col("sd") / F.col("n"), 9).alias("gap"))
+
+
 def _guarded(name: str, sql: str, f) -> None:
     add(name, sql)(f)
 
@@ -31,26 +44,34 @@ _guarded("v2_only_folds", f"{SEEN} WHERE event_id % 5 < 3", lambda s, d: guards.
 _guarded("v3_v4_share", SEEN, lambda s, d: guards.share_at_most(_events(s, d), F.col("event_id") % 1000 == 7, guards.FALLBACK, "fallbacks"))
 _guarded("v5_complete", f"WITH {v.S} SELECT query_id, product_id, llm_rank FROM s", lambda s, d: guards.complete(v.signals(s, d), "stage2_score", "ce_score", "llm_rank").select(*KEY, "llm_rank"))
 _guarded("v6_join_coverage", f"WITH {v.P} SELECT avg(has_enrichment::INT::DOUBLE) AS coverage FROM e", lambda s, d: guards.value_between(v.enriched(s, d).agg(F.avg(F.col("has_enrichment").cast("int")).alias("coverage")), "coverage", guards.JOIN_COVERAGE, 1.0))
-_guarded("v7_v9_shift", "SELECT round(avg(c_acctbal) - avg(c_acctbal), 9) AS shift FROM customer", lambda s, d: guards.value_between(table(s, d, "customer").agg(F.round(F.avg("c_acctbal") - F.avg("c_acctbal"), 9).alias("shift")), "shift", -guards.DENSE_SHIFT, guards.REPRODUCTION))
+_guarded("v7_v9_shift", """SELECT round(avg(l_discount) - avg(l_tax), 9) AS shift, round((SELECT sum(m * n) / sum(n) FROM (SELECT l_returnflag, avg(l_discount) AS m, count(*) AS n FROM lineitem GROUP BY 1)) - avg(l_discount), 9) AS gap FROM lineitem""",
+         lambda s, d: guards.value_between(guards.value_between(_shifts(s, d), "shift", -guards.DENSE_SHIFT, guards.DENSE_SHIFT), "gap", -guards.REPRODUCTION, guards.REPRODUCTION))
 _guarded("v8_book_share", "SELECT avg((p_size = 7 OR p_size = 8 OR p_size = 9)::INT::DOUBLE) AS share FROM part", lambda s, d: guards.value_between(table(s, d, "part").agg(F.avg(F.col("p_size").isin(7, 8, 9).cast("int")).alias("share")), "share", *guards.BOOK_SHARE))
-_guarded("v10_lossless", f"WITH {v.ARMS}, x AS (SELECT a.query_id, a.ndcg - b.ndcg AS delta FROM n1 a JOIN n1 b USING (query_id)) SELECT min(delta) AS low, max(delta) AS high FROM x",
-         lambda s, d: guards.lossless(metrics.paired(v.arms(s, d).where("arm = 'stage2'"), v.arms(s, d).where("arm = 'stage2'")).agg(F.min("delta").alias("low"), F.max("delta").alias("high"))))
-_guarded("v12_provenance", "SELECT event_id, 'm1' AS model FROM events", lambda s, d: guards.same_provenance(table(s, d, "events").select("event_id", F.lit("m1").alias("model")), model="m1"))
+_guarded("v10_lossless", f"WITH {v.ARMS}, x AS (SELECT a.arm, a.ndcg - b.ndcg AS delta FROM arms a JOIN n1 b USING (query_id) WHERE a.arm <> 'stage2') SELECT arm, round(min(delta), 9) AS low, round(max(delta), 9) AS high FROM x GROUP BY arm",
+         lambda s, d: guards.lossless(_deltas(s, d).groupBy("arm").agg(F.round(F.min("delta"), 9).alias("low"), F.round(F.max("delta"), 9).alias("high"))))
+_guarded("v12_provenance", "SELECT event_id, 'm' || user_id % 3 AS model, event_type AS kind FROM events WHERE user_id % 3 = 1 AND event_type = 'view'",
+         lambda s, d: guards.same_provenance(table(s, d, "events").where("event_type = 'view' AND user_id % 3 = 1").select("event_id", F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"), F.col("event_type").alias("kind")), model="m1", kind="view"))
 _guarded("v14_not_empty", f"WITH {v.S} SELECT query_id, product_id, stage2_rank FROM s", lambda s, d: guards.not_empty(v.signals(s, d), "windows").select(*KEY, "stage2_rank"))
 _guarded("v17_enough", "SELECT DISTINCT user_id FROM events", lambda s, d: guards.enough(table(s, d, "events"), "user_id", 10).select("user_id").distinct())
 
 
-@add("v11_final_only", "SELECT event_id FROM events WHERE event_id % 2 = 1")
+@add("v11_final_only", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM events WHERE event_id % 5 <> 0 OR user_id % 2 = 0")
 def _(s, d):
-    guards.final_only("test", True)
-    return table(s, d, "events").where("event_id % 2 = 1").select("event_id")
+    """Rows of both splits: those of the test split only with leave, which even users have."""
+    x = table(s, d, "events").select("event_id", "user_id", F.when(F.col("event_id") % 5 == 0, "test").otherwise("train").alias("split"), (F.col("user_id") % 2 == 0).alias("final"))
+    return guards.final_rows(x.where("split = 'train' OR final")).select("event_id", "split")
+
+
+@add("v13_v15_sets", "SELECT event_type AS arm, count(*) AS n, 'p0,p1' AS precisions FROM events GROUP BY 1")
+def _(s, d):
+    x = table(s, d, "events").select(F.col("event_type").alias("arm"), F.concat(F.lit("p"), (F.col("event_id") % 2).cast("string")).alias("precision"))
+    got = guards.complete_sets(x, ["arm"], "precision", ["p0", "p1"])
+    return got.select("arm", "n", F.array_join("found", ",").alias("precisions"))
 
 
 @add("v13_v15_v18_names", f"WITH {v.ARMS} SELECT arm, count(*) AS n FROM arms GROUP BY arm")
 def _(s, d):
-    x = v.arms(s, d).groupBy("arm").agg(F.count("*").alias("n"))
-    guards.exactly([r.arm for r in x.collect()], ["stage2", "ce", "llm"], "arms")
-    return x
+    return guards.complete_sets(v.arms(s, d).withColumn("all", F.lit(1)), ["all"], "arm", ["ce", "llm", "stage2"], keep=True)
 
 
 @add("v16_u8_disjoint", "SELECT event_id % 2 AS half, count(*) AS n FROM events GROUP BY 1")
@@ -128,21 +149,16 @@ def _(s, d):
 
 # --- filters, joins, windows --------------------------------------------------------------
 
-@add("p2_locale", "SELECT event_id FROM events WHERE event_type = 'view'")
+@add("p2_locale", "SELECT event_id FROM events WHERE event_type = 'view' AND user_id % 2 = 1 AND event_id % 3 <> 0")
 def _(s, d):
-    x = table(s, d, "events").withColumns({"product_locale": F.col("event_type"), "small_version": F.lit(1), "split": F.lit("train")})
+    x = table(s, d, "events").withColumns({"product_locale": F.col("event_type"), "small_version": (F.col("user_id") % 2).cast("int"), "split": F.when(F.col("event_id") % 3 == 0, "test").otherwise("train")})
     return relational.conjunctive_filter(x, "view", "small_version", "train").select("event_id")
 
 
 @add("p4_p5_record_kinds", "SELECT event_type AS type, count(*) AS seen, CASE WHEN event_type = 'error' THEN 0 ELSE count(*) END AS kept FROM events GROUP BY 1")
 def _(s, d):
     x = table(s, d, "events").select(F.col("event_type").alias("type"), F.lit("us").alias("locale"))
-    kinds = [r.type for r in x.select("type").distinct().collect()]
-    out = None
-    for kind in sorted(kinds):
-        one = agg.pass_counters(x.where(F.col("type") == kind), "us").select(F.lit(kind).alias("type"), "seen", "kept")
-        out = one if out is None else out.union(one)
-    return out
+    return agg.pass_counters(x, "us", by=["type"]).select("type", "seen", "kept")
 
 
 @add("p7_p8_fallbacks", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE lower(p_type) END AS told, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE '{"a":"' || p_size || '","b":"' || p_partkey || '"}' END AS attrs FROM part""")
@@ -157,13 +173,14 @@ def _(s, d):
     return v.enriched(s, d).select("product_id", "s_template", "s_price", F.coalesce("has_enrichment", F.lit(False)).alias("has_enrichment"))
 
 
-@add("p18_no_zero_scores", """WITH d AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark), st AS (SELECT term, max(item_id) AS item_id FROM (SELECT item_id, unnest(t) AS term FROM d) GROUP BY term)
+@add("p18_no_zero_scores", """WITH d AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark), st AS (SELECT term, max(item_id) AS item_id FROM (SELECT item_id, unnest(t) AS term FROM d) WHERE item_id % 3 <> 0 GROUP BY term)
   SELECT term, item_id FROM st""")
 def _(s, d):
+    """Every third item scores 0 and never shows, so a term that stands in such items only has no row."""
     x = table(s, d, "benchmark").select("item_id", F.explode(text.token_set(F.col("text"))).alias("term"))
-    terms = x.groupBy("term").agg(F.max("item_id").alias("own")).select(F.col("term").alias("query_id"), "term", "own", F.lit(1).alias("qtf"))
-    hits = x.withColumn("impact", F.when(F.col("item_id") >= 0, F.col("item_id") + 1.0).otherwise(0.0))
-    return retrieval.bm25_top(terms.select("query_id", "term", "qtf"), hits.withColumnRenamed("item_id", "neg"), "neg", 1).select(F.col("query_id").alias("term"), F.col("neg").alias("item_id"))
+    terms = x.select("term").distinct().select(F.col("term").alias("query_id"), "term", F.lit(1).alias("qtf"))
+    hits = x.withColumn("impact", F.when(F.col("item_id") % 3 != 0, F.col("item_id") + 1.0).otherwise(0.0))
+    return retrieval.bm25_top(terms, hits, "item_id", 1).select(F.col("query_id").alias("term"), "item_id")
 
 
 @add("p20_scope_windows", f"WITH {v.J}, r AS (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY stage2_score DESC, product_id) AS stage2_rank FROM j) SELECT *, stage2_rank <= 10 AS in_window FROM r")
@@ -278,9 +295,19 @@ def _(s, d):
     return rerank.pairwise_rows(v.judgements(s, d).select(*KEY, "gain"), *_texts(s, d))
 
 
-@add("x13_list_rows", f"WITH {v.S} SELECT query_id, string_agg(product_id, ',' ORDER BY stage2_rank) AS docs, string_agg(label, ',' ORDER BY stage2_rank) AS labels FROM s GROUP BY query_id")
+@add("x13_list_rows", f"""WITH {v.S}, y AS (SELECT *, (('0x' || substr(sha256('val-folds/v1:' || query_id), 1, 16))::UBIGINT % 5)::INT AS fold FROM s), t AS (SELECT * FROM y WHERE fold IN (2, 3, 4)),
+  m AS (SELECT f.fold, label, avg(ce_score) AS m FROM (SELECT unnest([2, 3, 4]) AS fold) f JOIN t ON t.fold <> f.fold GROUP BY f.fold, label), o AS (SELECT t.*, round(m, 9) AS score FROM t JOIN m USING (fold, label))
+  SELECT query_id, any_value(fold) AS fold, string_agg(product_id, ',' ORDER BY score DESC, product_id) AS docs, string_agg(label, ',' ORDER BY score DESC, product_id) AS labels FROM o GROUP BY query_id""")
 def _(s, d):
-    return agg.listwise(v.signals(s, d)).select("query_id", F.array_join("docs", ",").alias("docs"), F.array_join("labels", ",").alias("labels"))
+    """Lists of the training folds, each in the order of a model of the other two: mean scores by label."""
+    def fit(x):
+        m = x.groupBy("label").agg(F.round(F.avg("ce_score"), 9).alias("score"))
+        return lambda y: y.join(F.broadcast(m), "label")  # a row a label
+
+    x = relational.with_fold(v.signals(s, d)).where("fold IN (2, 3, 4)")
+    scored = learned.out_of_fold(x, [2, 3, 4], fit, reserved=(0, 1)).withColumn("stage2_rank", ranking.rank_by("score"))
+    got = agg.listwise(scored).join(scored.select("query_id", "fold").distinct(), "query_id")
+    return got.select("query_id", "fold", F.array_join("docs", ",").alias("docs"), F.array_join("labels", ",").alias("labels"))
 
 
 @add("l10_listwise_rerank", f"""WITH {v.S}, x AS (SELECT query_id, product_id, stage2_rank, count(*) OVER (PARTITION BY query_id) AS n FROM s)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomrank.functions.checks import holds
 from loomrank.operators.guards import disjoint, unique
 from loomrank.operators.ranking import rank_by
 
@@ -46,10 +47,9 @@ def model_record(spark: SparkSession, path: str, model: str, max_tokens: int) ->
 
 
 def append_vectors(new: DataFrame, path: str, stored: DataFrame | None, width: int) -> None:
-    """K7: appends (key, embedding); wrong widths, keys that stand twice or are stored already, and line breaks in keys raise before anything is written."""
-    unique(new, "key")
-    if not new.where((F.size("embedding") != width) | F.col("key").contains("\n") | F.col("key").isNull()).isEmpty():
-        raise ValueError("a vector of another width or a key that can't be stored")
+    """K7: appends (key, embedding); wrong widths, keys that stand twice or are stored already, and line breaks in keys raise, and leave nothing of the new rows."""
+    fine = (F.size("embedding") == width) & F.col("key").isNotNull() & ~F.col("key").cast("string").contains("\n")
+    new = unique(new, "key").where(holds(F.coalesce(fine, F.lit(False)), "a vector of another width or a key that can't be stored"))
     if stored is not None:
         disjoint(new, stored, "key")
     new.write.mode("append").parquet(path)

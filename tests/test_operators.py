@@ -73,16 +73,91 @@ def test_ndcg_and_floor(spark, frame):
         metrics.mean_ndcg(metrics.ndcg_per_query(frame.where("false"), "score")).collect()
 
 
-def test_bootstrap_is_that_of_numpy(spark):
-    values = [(str(i), float(i % 7)) for i in range(50)]
-    got = metrics.bootstrap(spark.createDataFrame(values, "query_id string, ndcg double"), n=200).first()
-    v = np.array([x for _, x in sorted(values)])
-    draw = np.random.default_rng(metrics.SEED)
-    means = [v[draw.integers(0, 50, 50)].mean() for _ in range(200)]
-    assert (got.low, got.high) == tuple(np.quantile(means, [0.025, 0.975]))
-    sides = spark.createDataFrame([(q, q % 2 == 0, float(q % 3)) for q in range(30)], "query_id long, present boolean, gain double")
+def weights(key, n):
+    """The Poisson weights of metrics.replicates(), drawn anew."""
+    out = []
+    for block in range(-(-n // 8)):
+        h = hashlib.sha256(f"{metrics.SEED}:{block}:{key}".encode()).hexdigest()
+        out += [sum(int(h[8 * i : 8 * i + 8], 16) >= step for step in metrics.poisson_steps()) for i in range(8)]
+    return np.array(out[:n])
+
+
+def test_bootstrap_weighs_queries_by_hash(spark):
+    values = [(i, arm, float((i * k) % 7)) for i in range(50) for arm, k in (("a", 1), ("b", 3))] + [(7000, "a", None)]
+    frame = spark.createDataFrame(values, "query_id long, arm string, ndcg double")
+    got = {r.arm: r for r in metrics.bootstrap(frame.repartition(3), arm="arm", n=203).collect()}
+    w = np.array([weights(i, 203) for i in range(50)])
+    assert 0.9 < w.mean() < 1.1 and 0.9 < w.var() < 1.1  # as a Poisson number of mean 1
+    for arm, k in (("a", 1), ("b", 3)):
+        v = np.array([(i * k) % 7 for i in range(50)], float)
+        low, high = np.quantile(v @ w / w.sum(axis=0), [0.025, 0.975])
+        assert (got[arm].low, got[arm].high, got[arm].point, got[arm].n) == pytest.approx((low, high, v.mean(), 50))
+    rows = [(q, (q + i) % 3 == 0, float((q * i) % 4)) for q in range(30) for i in range(4)]
+    sides = spark.createDataFrame(rows, "query_id long, present boolean, gain double")
     got = metrics.cluster_bootstrap(sides, n=100).first()
-    assert got.low <= got.point <= got.high
+    w = np.array([weights(q, 100) for q in range(30)])
+    total = lambda side, f: sum(w[q] * f(g) for q, p, g in rows if p == side)
+    delta = total(True, float) / total(True, lambda g: 1) - total(False, float) / total(False, lambda g: 1)
+    mean = lambda side: np.mean([g for _, p, g in rows if p == side])
+    assert (got.low, got.high, got.point) == pytest.approx((*np.quantile(delta, [0.025, 0.975]), mean(True) - mean(False)))
+    assert metrics.cluster_bootstrap(sides.where("present"), n=20).first().point is None
+    # the same number of either side, a query at a time: the difference's interval is paired, so of equal arms it is 0
+    same = metrics.bootstrap(metrics.paired(frame.where("arm = 'a' AND ndcg IS NOT NULL"), frame.where("arm = 'a' AND ndcg IS NOT NULL")), "delta", n=50).first()
+    assert (same.low, same.high) == (0.0, 0.0)
+
+
+def test_report_and_one_pass(frame):
+    x = frame.withColumnRenamed("score", "run_score")
+    both = {r.query_id: r for r in metrics.ndcg_and_floor(x).collect()}
+    ndcg, floor = {r.query_id: r.ndcg for r in metrics.ndcg_per_query(x).collect()}, {r.query_id: r.floor for r in metrics.random_floor(x).collect()}
+    assert {q: (r.ndcg, r.floor) for q, r in both.items()} == {q: (pytest.approx(ndcg[q]), pytest.approx(floor[q])) for q in ndcg}
+    got = {r.arm: r for r in metrics.report(x, "run_score", "mine", n=40).collect()}
+    assert got["mine"].point == pytest.approx(np.mean(list(ndcg.values()))) and got["lift"].point == pytest.approx(got["mine"].point - got["mine"].floor) and got["mine"].low <= got["mine"].point <= got["mine"].high
+
+
+def test_run_lengths(spark):
+    import itertools
+    import random
+
+    r = random.Random(4)
+    keys = [k for k in (r.choice([None, "a", "b", "c"]) for _ in range(60)) for _ in range(r.choice([1, 1, 2, 40]))]
+    frame = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i long, k string").repartition(5)
+    want = [(n, k, len(list(g))) for n, (k, g) in enumerate(itertools.groupby(keys), 1)]
+    for parts in (1, 3, 16):
+        assert sorted(map(tuple, ranking.run_lengths(frame, "k", ["i"], partitions=parts).collect())) == want
+    ordered = frame.select("k", "i").where("k IS NOT NULL")
+    got = ranking.run_lengths(ordered, "k", ["k", "i"], once=True).collect()
+    assert {x.k: x.n for x in got} == {k: keys.count(k) for k in "abc"}
+    with pytest.raises(PySparkException):
+        ranking.run_lengths(frame, "k", ["i"], once=True).collect()
+    assert ranking.run_lengths(frame.where("false"), "k", ["i"]).count() == 0
+
+
+def test_pairs_of_long_lists_without_pairs(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(q, f"p{i}", r.randrange(30), r.choice([0.0, 0.01, 0.1, 1.0, None])) for q in range(3) for i in range(60)]
+    frame = spark.createDataFrame(rows, "query_id long, product_id string, position int, gain double")
+    pairs = [x[3] > y[3] for x in rows for y in rows if x[0] == y[0] and x[2] < y[2] and None not in (x[3], y[3]) and x[3] != y[3]]
+    got = relational.pairwise_accuracy(frame).first()
+    assert (got.accuracy, got.n_pairs) == (pytest.approx(sum(pairs) / len(pairs)), len(pairs)) and relational.mixed_pairs(frame).count() == len(pairs)
+    assert tuple(relational.pairwise_accuracy(frame.where("false")).first()) == (None, 0)
+    with pytest.raises(PySparkException):
+        relational.pairwise_accuracy(frame.withColumn("gain", F.lit(0.5))).collect()
+
+
+def test_watched_shares_cost_no_pass(spark, frame, tmp_path):
+    watch = guards.Watch()
+    x = watch.not_empty(watch.mean_shift(watch.share_at_most(frame, F.col("gain") == 1, 0.3, "best"), F.col("score"), F.col("score") + 0.01, -0.02, 0.0, "scores"))
+    assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
+    x.write.parquet(str(tmp_path / "x"))
+    watch.check()
+    for mark in (lambda w: w.share_at_most(frame, F.col("gain") == 1, 0.1, "best"), lambda w: w.not_empty(frame.where("false")), lambda w: w.mean_shift(frame, F.col("score"), F.lit(0.0), -0.02, 0.02, "s")):
+        watch = guards.Watch()
+        mark(watch).collect()
+        with pytest.raises(ValueError):
+            watch.check()
 
 
 def test_splice(frame):
@@ -115,6 +190,8 @@ def test_guards(spark, frame):
         (lambda: guards.final_only("test", True), lambda: guards.final_only("test", False)),
         (lambda: guards.same_provenance(cache, model="m1"), lambda: guards.same_provenance(cache, model="m2")),
         (lambda: guards.exactly(["a"], ["a"], "arms"), lambda: guards.exactly(["a"], ["a", "b"], "arms")),
+        (lambda: guards.final_rows(frame.selectExpr("*", "'test' split", "true final")), lambda: guards.final_rows(frame.selectExpr("*", "'test' split", "query_id > 0 final"))),
+        (lambda: guards.complete_sets(folded, ["product_id"], "fold", [0, 1, 2]), lambda: guards.complete_sets(folded.where("query_id < 2"), ["product_id"], "fold", [0, 1, 2])),
         (lambda: guards.not_empty(frame), lambda: guards.not_empty(frame.where("false"))),
         (lambda: guards.disjoint(folded.where("fold = 0"), folded.where("fold = 1"), "query_id"), lambda: guards.disjoint(folded, folded, "query_id")),
         (lambda: guards.enough(frame, "query_id", 4), lambda: guards.enough(frame, "query_id", 5)),
@@ -184,8 +261,11 @@ def test_trec_folds_vectors_cache(spark, tmp_path, frame):
     writers.append_vectors(new, str(tmp_path / "v"), None, 2)
     stored = readers.vectors(spark, str(tmp_path / "v"), 2)
     for bad in (new, spark.createDataFrame([("k2", [1.0])], "key string, embedding array<float>"), spark.createDataFrame([("a\nb", [1.0, 2.0])], "key string, embedding array<float>")):
-        with pytest.raises(ValueError):
+        with pytest.raises((ValueError, PySparkException)):
             writers.append_vectors(bad, str(tmp_path / "v"), stored, 2)
+    with pytest.raises(PySparkException):
+        writers.append_vectors(new.withColumn("key", F.lit("k3")).union(new.withColumn("key", F.lit("k3"))), str(tmp_path / "v"), stored, 2)
+    assert readers.vectors(spark, str(tmp_path / "v"), 2).count() == 1  # nothing of the failed ones is left
     with pytest.raises(PySparkException):
         readers.vectors(spark, str(tmp_path / "v"), 3).collect()
     assert readers.answer_cache(spark, str(tmp_path / "nocache")).count() == 0
@@ -222,9 +302,25 @@ def test_streams_equal_batches(spark, tmp_path, frame):
     stream = lambda: spark.readStream.schema(frame.schema).parquet(src)
     incremental.available_now(stream(), str(tmp_path / "out"), str(tmp_path / "c1"), lambda x: x.where("gain > 0"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == frame.where("gain > 0").count()
-    for c in ("c2", "c3"):  # a second pass finds nothing to do
-        incremental.keyed_batches(stream(), str(tmp_path / "keys"), str(tmp_path / c), "product_id", lambda x: x.withColumn("n", F.length("product_id")))
-    assert spark.read.parquet(str(tmp_path / "keys")).count() == 6
+    worked = []
+
+    def work(batch):
+        worked.append(sorted(r.product_id for r in batch.select("product_id").collect()))
+        return batch.withColumn("n", F.length("product_id"))
+
+    def run(checkpoint):
+        worked.clear()
+        incremental.keyed_batches(stream(), str(tmp_path / "keys"), str(tmp_path / checkpoint), "product_id", work)
+        return [k for ks in worked for k in ks]
+
+    first = sorted(frame.select("product_id").distinct().toPandas()["product_id"])
+    assert run("c2") == first and run("c2") == []  # a second start finds nothing to do
+    frame.limit(3).withColumn("product_id", F.concat(F.lit("new"), "product_id")).union(frame).write.mode("append").parquet(src)
+    news = run("c2")
+    assert len(news) == len(set(news)) and all(k.startswith("new") for k in news)  # keyed state, not the sink, knows the old ones
+    assert run("c3") == []  # a new checkpoint over the same sink
+    got = [r.product_id for r in spark.read.parquet(str(tmp_path / "keys")).collect()]
+    assert sorted(got) == sorted(first + news)
 
 
 def test_learned_rankers(spark):
