@@ -32,7 +32,7 @@ def _shifts(s, d):
     """How far two fields lie apart, and a mean from its reproduction out of the means of groups."""
     x = table(s, d, "lineitem").groupBy("l_returnflag").agg(F.avg("l_discount").alias("m"), F.count("*").alias("n"), F.sum("l_discount").alias("sd"), F.sum("l_tax").alias("st"))
     y = x.agg(F.sum("sd").alias("sd"), F.sum("st").alias("st"), F.sum("n").alias("n"), F.sum(F.col("m") * F.col("n")).alias("again"))
-    return y.select(F.round((F.col("sd") - F.col("st")) / F.col("n"), 9).alias("shift"), F.round(F.col("again") / F.col("n") - F.col("sd") / F.col("n"), 9).alias("gap"))
+    return y.select(F.round((F.col("sd") - F.col("st")) / F.col("n"), 9).alias("shift"), (F.round(F.col("again") / F.col("n") - F.col("sd") / F.col("n"), 9) + 0.0).alias("gap"))
 
 
 def _guarded(name: str, sql: str, f) -> None:
@@ -44,7 +44,7 @@ _guarded("v2_only_folds", f"{SEEN} WHERE event_id % 5 < 3", lambda s, d: guards.
 _guarded("v3_v4_share", SEEN, lambda s, d: guards.share_at_most(_events(s, d), F.col("event_id") % 1000 == 7, guards.FALLBACK, "fallbacks"))
 _guarded("v5_complete", f"WITH {v.S} SELECT query_id, product_id, llm_rank FROM s", lambda s, d: guards.complete(v.signals(s, d), "stage2_score", "ce_score", "llm_rank").select(*KEY, "llm_rank"))
 _guarded("v6_join_coverage", f"WITH {v.P} SELECT avg(has_enrichment::INT::DOUBLE) AS coverage FROM e", lambda s, d: guards.value_between(v.enriched(s, d).agg(F.avg(F.col("has_enrichment").cast("int")).alias("coverage")), "coverage", guards.JOIN_COVERAGE, 1.0))
-_guarded("v7_v9_shift", """SELECT round(avg(l_discount) - avg(l_tax), 9) AS shift, round((SELECT sum(m * n) / sum(n) FROM (SELECT l_returnflag, avg(l_discount) AS m, count(*) AS n FROM lineitem GROUP BY 1)) - avg(l_discount), 9) AS gap FROM lineitem""",
+_guarded("v7_v9_shift", """SELECT round(avg(l_discount) - avg(l_tax), 9) AS shift, round((SELECT sum(m * n) / sum(n) FROM (SELECT l_returnflag, avg(l_discount) AS m, count(*) AS n FROM lineitem GROUP BY 1)) - avg(l_discount), 9) + 0.0 AS gap FROM lineitem""",
          lambda s, d: guards.value_between(guards.value_between(_shifts(s, d), "shift", -guards.DENSE_SHIFT, guards.DENSE_SHIFT), "gap", -guards.REPRODUCTION, guards.REPRODUCTION))
 _guarded("v8_book_share", "SELECT avg((p_size = 7 OR p_size = 8 OR p_size = 9)::INT::DOUBLE) AS share FROM part", lambda s, d: guards.value_between(table(s, d, "part").agg(F.avg(F.col("p_size").isin(7, 8, 9).cast("int")).alias("share")), "share", *guards.BOOK_SHARE))
 _guarded("v10_lossless", f"WITH {v.ARMS}, x AS (SELECT a.arm, a.ndcg - b.ndcg AS delta FROM arms a JOIN n1 b USING (query_id) WHERE a.arm <> 'stage2') SELECT arm, round(min(delta), 9) AS low, round(max(delta), 9) AS high FROM x GROUP BY arm",
