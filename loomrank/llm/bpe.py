@@ -7,9 +7,10 @@ repaired: a window around it is encoded anew and grown to both sides, as often a
 both its ends agree with token boundaries of the chunks at places where any encoding must break,
 and only then spliced in.
 
-Such a place is a byte that isn't white space followed by a blank: the pre-tokenizer's pattern never
-lets a piece run on from anything but white space into a blank, and looks at nothing before a piece,
-so tokens left and right of it don't depend on the other side.
+Such a place is the end of a character of any script that isn't white space, before a blank; or, for
+scripts without blanks, that of a Chinese character before a comma or full stop of its own: the
+pre-tokenizer's pattern never lets a piece run on there, and looks at nothing before a piece, so
+tokens left and right of it don't depend on the other side.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ MEMO_BYTES = 48 << 20
 
 # Fixed value: the published pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SAFE = re.compile(rb"[^\s\x80-\xff\x1c-\x1f](?= )")
+# Ends of places as told above, in UTF-8. Behind the first bracket: the white space beyond ASCII. U+4E00 to U+8FFF are letters to every version of the property.
+_SAFE = re.compile(rb"[^\s\x1c-\x1f](?<!\xc2[\x85\xa0])(?<!\xe1\x9a\x80)(?<!\xe2\x80[\x80-\x8a\xa8\xa9\xaf])(?<!\xe2\x81\x9f)(?<!\xe3\x80\x80)(?= )"
+                   rb"|(?:\xe4[\xb8-\xbf]|[\xe5-\xe8][\x80-\xbf])[\x80-\xbf](?=\xe3\x80[\x81\x82]|\xef\xbc\x8c)")
 LONG = 4096
 # The characters of the property White_Space. The pattern's look-ahead would take a long run of them one by one on a stack.
 _LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
@@ -75,7 +78,7 @@ class Codec:
         self.special_at = re.compile(b"(" + b"|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + b")") if special else re.compile(rb"(?!)")
         self.mask, self.memo_bytes = np.uint32((1 << chunk_bits) - 1 << 32 - chunk_bits), memo_bytes
         self.memo: dict[bytes, np.ndarray] = {}
-        self.held = self.encoded = self.reused = 0
+        self.held = self.encoded = self.reused = self.handed = 0
 
     def encode_whole(self, data: bytes) -> np.ndarray:
         """Of a text that holds special tokens: the stretches between them on their own."""
@@ -85,6 +88,7 @@ class Codec:
     def encode_bytes(self, data: bytes) -> np.ndarray:
         """Of a stretch without special tokens. A long run of white space is a piece but for its last character, which belongs to what follows."""
         text = data.decode("utf-8")
+        self.handed += len(data)
         if len(data) < LONG or not (found := list(_LONG_SPACE.finditer(text))):
             return np.array(self.engine.encode_ordinary(text), np.int32)
         out, done = [], 0
@@ -150,13 +154,18 @@ class Codec:
 
     @staticmethod
     def _left(data: bytes, low: int, cut: int) -> int | None:
-        """The last safe place between low and cut, at which the left chunk's own tokens break too."""
-        at = cut - 1
-        while (at := data.rfind(b" ", low + 1, at + 1)) > 0:
-            if _SAFE.match(data, at - 1):
-                return at
-            at -= 1
-        return None
+        """The last safe place between low and cut, at which the left chunk's own tokens break too; looked for from the cut back, in wider and wider stretches."""
+        width = 256
+        while True:
+            begin = max(low, cut - width)
+            last = None
+            for last in _SAFE.finditer(data, begin, cut):
+                pass
+            if last is not None:
+                return last.end()
+            if begin == low:
+                return None
+            width *= 8
 
     @staticmethod
     def _right(data: bytes, cut: int, high: int) -> int | None:
