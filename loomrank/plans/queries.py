@@ -177,7 +177,11 @@ def _(s, d):
     return v.judgements(s, d).select("product_id").distinct().join(v.corpus(s, d).withColumnRenamed("asin", "product_id"), "product_id", "left_anti")
 
 
-@add("j9_two_key_left", f"WITH {v.S} SELECT query_id, product_id, w.label, coalesce(s.llm_rank, -1) AS llm_rank FROM w LEFT JOIN s USING (query_id, product_id)")
+#: What a left join of the windows' ranks gives each judgement, without a join: the rank within the window, -1 outside.
+RANKED = "SELECT query_id, product_id, label, CASE WHEN stage2_rank <= 10 THEN row_number() OVER (PARTITION BY query_id, stage2_rank <= 10 ORDER BY day, product_id) ELSE -1 END AS llm_rank FROM w"
+
+
+@add("j9_two_key_left", f"WITH {v.S} {RANKED}")
 def _(s, d):
     return relational.guarded_left(v.judgements(s, d).select(*KEY, "label"), v.signals(s, d).select(*KEY, "llm_rank"), KEY).fillna(-1, ["llm_rank"])
 
@@ -769,10 +773,14 @@ def _(s, d):
     return features.product_matrix(v.enriched(s, d)).select("product_id", *features.GROUPS["s_indicators"])
 
 
-@add("x9_feature_matrix", f"WITH {v.S}, {v.P} SELECT w.query_id, w.product_id, w.label, length(w.query)::DOUBLE AS query_chars, length(product_title)::DOUBLE AS title_chars, has_enrichment::INT::DOUBLE AS has_enrichment, coalesce(s.llm_rank, -1) AS llm_rank FROM w JOIN e USING (product_id) LEFT JOIN s USING (query_id, product_id)")
+@add("x9_feature_matrix", f"""SELECT r.query_id, r.product_id, r.label, r.llm_rank, b.* EXCLUDE (query_id, product_id), a.* EXCLUDE (product_id), i.* EXCLUDE (product_id) FROM (WITH {v.S} {RANKED}) r
+  JOIN ({ORACLE['x7_x4_pair_features']}) b ON r.query_id = b.query_id AND r.product_id = b.product_id JOIN ({ORACLE['x6_product_features']}) a ON a.product_id = r.product_id JOIN ({ORACLE['x8_indicators']}) i ON i.product_id = r.product_id""")
 def _(s, d):
+    """29 features of all groups but the modelled scores, which the rank stands for."""
     x = features.feature_matrix(v.judgements(s, d), v.enriched(s, d), v.signals(s, d).select(*KEY, "llm_rank"))
-    return x.select(*KEY, "label", "query_chars", "title_chars", "has_enrichment", F.coalesce("llm_rank", F.lit(-1)).alias("llm_rank"))
+    own = ["title_chars", "title_words", "own_desc_chars", "category_depth", "n_attrs", "n_info", "s_stars", "s_ratings", "s_price", "s_price_multi", "s_bsr_rank", "s_n_reviews", *features.GROUPS["s_indicators"]]
+    pair = ["query_chars", "query_words", "title_overlap", *r9("brand_match"), "brand_match_all", "color_match", "category_match_depth", "attr_key_overlap"]
+    return x.select(*KEY, "label", *own, *pair, F.coalesce("llm_rank", F.lit(-1)).alias("llm_rank"))
 
 
 @add("x17_chart_points", "SELECT event_type AS arm, kind, round(ms, 6) AS ms FROM (SELECT event_type, avg(value) AS mean, max(value) AS worst FROM events GROUP BY 1) UNPIVOT (ms FOR kind IN (mean, worst))")
