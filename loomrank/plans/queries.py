@@ -216,13 +216,14 @@ def _(s, d):
     return relational.pairwise_accuracy(v.signals(s, d).withColumnRenamed("stage2_rank", "position")).select(*r9("accuracy"), "n_pairs")
 
 
-@add("j19_top1_accuracy", """WITH i AS (SELECT vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 200), t AS (SELECT vec_id AS k, list_transform(embedding::DOUBLE[], lambda x, n: CASE WHEN n <= 32 THEN x ELSE 0 END) AS v FROM embeddings WHERE vec_id < 200),
+@add("j19_top1_accuracy", """WITH i AS (SELECT vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings), t AS (SELECT vec_id AS k, list_transform(embedding::DOUBLE[], lambda x, n: CASE WHEN n % 4 = 1 THEN x ELSE 0 END) AS v FROM embeddings),
   x AS (SELECT i.k AS ik, t.k AS tk, round(list_inner_product(i.v, t.v), 9) AS s FROM i, t),
   o AS (SELECT ik, max(s) FILTER (ik = tk) AS own, max(s) FILTER (ik <> tk) AS other FROM x GROUP BY ik) SELECT avg(CASE WHEN own >= other THEN 1.0 ELSE 0.0 END) AS top1, count(*) AS n FROM o""")
 def _(s, d):
-    pool = table(s, d, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("embedding"))
-    half = pool.withColumn("embedding", F.transform("embedding", lambda x, n: F.when(n < 32, x).otherwise(0.0)))
-    return retrieval.top1_accuracy(pool, half, 600)
+    """All vectors against texts that know every fourth component, in small blocks."""
+    images = table(s, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("embedding"))
+    fourth = images.withColumn("embedding", F.transform("embedding", lambda x, n: F.when(n % 4 == 0, x).otherwise(0.0)))
+    return retrieval.top1_accuracy_in_blocks(images, fourth, 1024)
 
 
 @add("j19_top1_accuracy_whole", """WITH i AS (SELECT vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings), t AS (SELECT vec_id AS k, list_transform(embedding::DOUBLE[], lambda x, n: CASE WHEN n <= 32 THEN x ELSE 0 END) AS v FROM embeddings),
@@ -267,9 +268,12 @@ def _asked(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-@add("j23_bm25_pairs", f"WITH {BM25}, pr AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark, documents WHERE doc_id % 50 = item_id % 50) SELECT query_id, doc_id, round(coalesce(bm25_score, 0), 6) AS bm25_score FROM pr LEFT JOIN sc USING (query_id, doc_id)")
+@add("j23_bm25_pairs", f"""WITH {BM25}, li AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark), ld AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM documents),
+  pr AS (SELECT DISTINCT query_id, doc_id FROM li JOIN ld USING (term) WHERE length(term) >= 7) SELECT query_id, doc_id, round(coalesce(bm25_score, 0), 6) AS bm25_score FROM pr LEFT JOIN sc USING (query_id, doc_id)""")
 def _(s, d):
-    pairs = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 50).alias("m")).join(table(s, d, "documents").select("doc_id", (F.col("doc_id") % 50).alias("m")), "m").select("query_id", "doc_id").distinct()
+    """Every pair of a query and a document that have a word of seven letters or more in common."""
+    long = lambda t, key: t.select(key, F.explode(text.token_set(F.col("text"))).alias("term")).where(F.length("term") >= 7)
+    pairs = long(_asked(s, d), "query_id").join(long(table(s, d, "documents"), "doc_id"), "term").select("query_id", "doc_id").distinct()
     return bm25.of_pairs(_index(s, d), _asked(s, d), F.col("text"), pairs).select("query_id", "doc_id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
@@ -687,10 +691,11 @@ def _(s, d):
     return x.select("arm", text.interval_text(F.col("m"), F.lit(0.0), F.lit(1.0)).alias("cell"), text.escape_html(F.concat(F.lit("<"), F.col("arm"), F.lit(">"))).alias("html"))
 
 
-@add("m2_m3_similarity", "SELECT a.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7) % 500")
+@add("m2_m3_similarity", "SELECT a.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS similarity FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def _(s, d):
+    """Every vector with the one of the next id, null where there is none."""
     e = table(s, d, "embeddings").select("vec_id", numeric.l2_normalize(F.col("embedding")).alias("embedding"))
-    pairs = e.select(F.col("vec_id").alias("query_id"), (F.col("vec_id") * 7 % 500).alias("product_id"))
+    pairs = e.select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 1).alias("product_id"))
     x = retrieval.pair_similarity(pairs, e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "product_id"))
     return x.select(F.col("query_id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
