@@ -85,21 +85,22 @@ def build(docs: DataFrame, key: str, text: Column, path: str, stemmed: bool = Fa
     return index
 
 
-def weighted_terms(index: Index, queries: DataFrame, text: Column) -> DataFrame:
-    """(query_id, bucket, term, weight), stored: the idf of each term of a query that the index knows, times how often the query has it. Reads the buckets of the queries' terms only."""
+def weighted_terms(index: Index, queries: DataFrame, text: Column) -> tuple[DataFrame, list[int]]:
+    """(query_id, bucket, term, weight), stored: the idf of each term of a query that the index knows, times how often the query has it; and the buckets of the queries' terms, the only ones that are read."""
     spark = queries.sparkSession
     terms = stored(term_counts(queries, ["query_id"], text, index.stemmed).where("term IS NOT NULL").select("query_id", "term", F.col("tf").alias("qtf"), _bucket(F.col("term")).alias("bucket")))
     n = index.read(spark, "stats").first().n_docs
-    x = terms.join(_pruned(index.read(spark, "terms"), terms), ["bucket", "term"])
-    return stored(x.select("query_id", "bucket", "term", (F.col("qtf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight")))
+    buckets = [r.bucket for r in terms.select("bucket").distinct().collect()]
+    x = terms.join(_pruned(index.read(spark, "terms"), buckets), ["bucket", "term"])
+    return stored(x.select("query_id", "bucket", "term", (F.col("qtf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"))), buckets
 
 
-def _pruned(files: DataFrame, terms: DataFrame) -> DataFrame:
-    """Only the folders that the terms fall into; there are BUCKETS at most, so their numbers may come to the driver."""
-    return files.where(F.col("bucket").isin([r.bucket for r in terms.select("bucket").distinct().collect()]))
+def _pruned(files: DataFrame, buckets: list[int]) -> DataFrame:
+    """Only the folders that the terms fall into, BUCKETS at most."""
+    return files.where(F.col("bucket").isin(buckets))
 
 
-def surviving_blocks(index: Index, terms: DataFrame, k: int) -> DataFrame:
+def surviving_blocks(index: Index, terms: DataFrame, buckets: list[int], k: int) -> DataFrame:
     """(query_id, bucket, term, weight, shard, block) of the blocks that a document of the k best can stand in.
 
     The blocks of highest impact of each term alone give k documents of a score of at least
@@ -109,7 +110,7 @@ def surviving_blocks(index: Index, terms: DataFrame, k: int) -> DataFrame:
     that ties with the last is lost.
     """
     spark = terms.sparkSession
-    blocks = _pruned(index.read(spark, "blocks"), terms)
+    blocks = _pruned(index.read(spark, "blocks"), buckets)
     heads = terms.join(blocks.select("bucket", "term", "shard", "block", "top"), ["bucket", "term"]).withColumn("bound", F.col("weight") * F.col("top"))
     most = heads.groupBy("query_id", "term").agg(F.max("bound").alias("most"))
     reach = most.groupBy("query_id").agg(F.sum("most").alias("reach"))
@@ -122,17 +123,17 @@ def surviving_blocks(index: Index, terms: DataFrame, k: int) -> DataFrame:
 
 def top(index: Index, queries: DataFrame, text: Column, k: int) -> DataFrame:
     """The k best documents of each query (query_id, key, bm25_score, rank), zero scores left out, ties by id; a query that matches nothing has no row."""
-    terms = weighted_terms(index, queries, text)
-    blocks = _pruned(index.read(queries.sparkSession, "blocks"), terms).select("bucket", "term", "shard", "block", "postings")
-    hits = surviving_blocks(index, terms, k).join(blocks, ["bucket", "term", "shard", "block"]).select("query_id", "weight", F.explode("postings").alias("p"))
+    terms, buckets = weighted_terms(index, queries, text)
+    blocks = _pruned(index.read(queries.sparkSession, "blocks"), buckets).select("bucket", "term", "shard", "block", "postings")
+    hits = surviving_blocks(index, terms, buckets, k).join(blocks, ["bucket", "term", "shard", "block"]).select("query_id", "weight", F.explode("postings").alias("p"))
     found = hits.groupBy("query_id", F.col("p.key").alias(index.key)).agg(F.sum(F.col("weight") * F.col("p.sat")).alias("bm25_score")).where("bm25_score > 0")
     return found.withColumn("rank", F.row_number().over(by_query(F.round("bm25_score", 9).desc(), F.col(index.key)))).where(F.col("rank") <= k)
 
 
 def of_pairs(index: Index, queries: DataFrame, text: Column, pairs: DataFrame) -> DataFrame:
     """The score of each given (query, document), 0 where they have no term in common."""
-    terms = weighted_terms(index, queries, text)
-    blocks = _pruned(index.read(queries.sparkSession, "blocks"), terms)
+    terms, buckets = weighted_terms(index, queries, text)
+    blocks = _pruned(index.read(queries.sparkSession, "blocks"), buckets)
     x = terms.join(blocks.select("bucket", "term", "postings"), ["bucket", "term"]).select("query_id", "weight", F.explode("postings").alias("p"))
     hits = x.select("query_id", F.col("p.key").alias(index.key), (F.col("weight") * F.col("p.sat")).alias("s")).join(pairs.select("query_id", index.key), ["query_id", index.key], "left_semi")
     scored = hits.groupBy("query_id", index.key).agg(F.sum("s").alias("bm25_score"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
@@ -135,7 +136,7 @@ def train(frame: DataFrame, valid: DataFrame, features: Sequence[str], objective
     if set(count) != {False, True}:
         raise ValueError("no rows to train on, or none to stop by")
     # a class that training doesn't have still needs a share above 0
-    start = tuple(float(_log(max(count[False][f"n{k}"], 0.5) / count[False].n)) for k in range(classes)) if multi else (0.0,)
+    start = tuple(float(math.log(max(count[False][f"n{k}"], 0.5) / count[False].n)) for k in range(classes)) if multi else (0.0,)
     x = x.withColumns({f"_s{k}": F.lit(s) for k, s in enumerate(start)})
     grower = DecisionTreeRegressor(labelCol="_target", weightCol="h", featuresCol="features", predictionCol="_step", maxDepth=use["depth"], minInstancesPerNode=use["least_rows"], minInfoGain=0.0)
     trees, history = [], []
@@ -159,12 +160,6 @@ def train(frame: DataFrame, valid: DataFrame, features: Sequence[str], objective
     return Boosted(objective, tuple(features), use, start, tuple(trees), best, tuple(history))
 
 
-def _log(x: float) -> float:
-    import math
-
-    return math.log(x)
-
-
 # --- a frozen configuration --------------------------------------------------------------------
 
 
