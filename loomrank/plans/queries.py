@@ -923,7 +923,7 @@ def _(s, d):
     return got.select(*KEY, F.round("score", 6).alias("score"))
 
 
-@add("l6_pair_scorer")
+@add("l6_pair_scorer", f"WITH {v.S}, {v.P}, x AS (SELECT query_id, product_id, list_distinct(string_split(query, ' ')) AS q, list_distinct(string_split(lower(product_title), ' ')) AS t FROM s JOIN p USING (product_id)) SELECT query_id, product_id, len(list_intersect(q, t)) / greatest(1, len(q)) AS score FROM x")
 def _(s, d):
     x = v.signals(s, d).join(v.products(s, d).select("product_id", F.col("product_title").alias("text")), "product_id").select(*KEY, "query", "text")
     return retrieval.scored_pairs(x, _overlap_scorer).select(*KEY, "score")
