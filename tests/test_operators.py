@@ -370,3 +370,12 @@ def test_top1_accuracy_in_blocks_is_that_of_one_pool(spark, rows):
     want = [(i != 3) and (v[i] @ near[i]) >= s[i] - 1e-9 for i in range(60)]
     assert got.top1 == pytest.approx(np.mean(want)) and 0 < got.top1 < 1
     assert retrieval.top1_accuracy_in_blocks(images, texts, rows).first() == retrieval.top1_accuracy(images, texts, 60).first()
+
+
+def test_discounts_are_the_nearest_doubles(spark):
+    """A document of gain 1 at the third and one at the eighth place of ten have an NDCG of 0.5, the lower edge of a stratum, and not the double before."""
+    docs = [(1, f"p{i}", float(10 - i), 1.0 if i in (2, 7) else 0.0) for i in range(10)]
+    got = metrics.ndcg_per_query(spark.createDataFrame(docs, "query_id long, product_id string, run_score double, gain double")).first()
+    assert got.ndcg == 0.5
+    far = spark.range(1, 400).select("id", numeric.log2_discount(F.col("id")).alias("d")).collect()
+    assert all(abs(r.d - math.log2(r.id + 1)) < (1e-14 if r.id > numeric.EXACT_RANKS else 1e-300) for r in far)
