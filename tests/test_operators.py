@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 
 import numpy as np
 import pytest
@@ -379,3 +380,28 @@ def test_discounts_are_the_nearest_doubles(spark):
     assert got.ndcg == 0.5
     far = spark.range(1, 400).select("id", numeric.log2_discount(F.col("id")).alias("d")).collect()
     assert all(abs(r.d - math.log2(r.id + 1)) < (1e-14 if r.id > numeric.EXACT_RANKS else 1e-300) for r in far)
+
+
+def test_arms_in_one_pass_equal_each_alone(spark):
+    docs = [(q, f"p{i}", float((q * 7 + i * 3) % 5), float(i), [0.0, 0.01, 0.1, 1.0][(q + i) % 4] * (q > 0)) for q in range(6) for i in range(8)] + [(9, "a", None, 1.0, 0.0)]
+    x = spark.createDataFrame(docs, "query_id long, product_id string, a double, b double, gain double")
+    got = {(r.query_id, r.arm): r.ndcg for r in metrics.ndcg_per_arm(x, {"one": "a", "two": "b"}).collect()}
+    for arm, score in (("one", "a"), ("two", "b")):
+        want = {(r.query_id, arm): r.ndcg for r in metrics.ndcg_per_query(x, score).collect()}
+        assert {k: pytest.approx(v, abs=1e-12) for k, v in want.items()} == {k: v for k, v in got.items() if k[1] == arm}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_windows_and_arms_shuffle_the_lines_once_by_order_and_once_by_customer(spark):
+    from loomrank.plans import views
+
+    def exchanges(x):
+        return x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    d, old = "/root/testdata/sf0.001", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(views.signals(spark, d)) == 3  # lines, orders, and both by customer
+        assert exchanges(views.arms(spark, d)) == exchanges(views.windows(spark, d)) == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
