@@ -156,3 +156,8 @@ def test_cross_fit_never_scores_what_it_saw(spark, frame):
     for bad in (dealt.where("query_id > 0"), dealt.union(spark.createDataFrame([(3, 0)], dealt.schema))):
         with pytest.raises(PySparkException):
             ranknet.cross_fit_orderings(frame, fit, bad).collect()
+
+
+def test_gradients_join_nothing(spark, frame):
+    plan = boosting.lambda_gradients(frame.withColumn("score", F.col("noise")), keep=["signal"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
