@@ -16,6 +16,7 @@ from loomrank.functions.text import tokens
 from .ranking import by_query
 
 K1, B = 1.5, 0.75
+CELL = 16384  # vectors of a side that a task of top1_accuracy_in_blocks holds at most
 # English function words that carry no weight.
 STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
 
@@ -84,12 +85,16 @@ def top1_accuracy(images: DataFrame, texts: DataFrame, pool: int) -> DataFrame:
 
 
 def top1_accuracy_in_blocks(images: DataFrame, texts: DataFrame, rows: int = 4096) -> DataFrame:
-    """J19 without a pool: every image against every text, in tasks of about `rows` images by `rows` texts.
+    """J19 without a pool: every image against every text, in products of `rows` images by `rows` texts.
 
-    The work grows with the product of both sides. Vectors are of one length and finite; an image
+    The work grows with the product of both sides. A task gets up to CELL rows of each, fewer where there would be too few tasks, so
+    that a vector travels as seldom as memory allows; components that no text of a task has are left out, and the best are rounded
+    instead of all. Vectors are of one length and finite; an image
     without one, or without its own text, counts as missed. Products are rounded to 9 digits.
     """
-    across, down = (max(1, -(-x.count() // rows)) for x in (images, texts))
+    many = [x.count() for x in (images, texts)]
+    side = max(rows, min(CELL, int((many[0] * many[1] / (4 * images.sparkSession.sparkContext.defaultParallelism)) ** 0.5)))
+    across, down = (max(1, -(-n // side)) for n in many)
     fine = F.col("embedding").isNotNull()
     dealt = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -99,10 +104,24 @@ def top1_accuracy_in_blocks(images: DataFrame, texts: DataFrame, rows: int = 409
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         own, other = np.zeros(0), np.zeros(0)
         if len(x) and len(y):
-            v, w = (np.array(z["embedding"].to_pylist(), np.float64) for z in (x, y))
-            s = np.round(v @ w.T, 9)
-            same = x["key"].to_numpy()[:, None] == y["key"].to_numpy()[None, :]
-            own, other = (np.where(m, s, -np.inf).max(axis=1) for m in (same, ~same))
+            v, w = (z["embedding"].combine_chunks().flatten().to_numpy().reshape(len(z), -1) for z in (x, y))
+            some = np.flatnonzero(w.any(axis=0))
+            v, w = np.ascontiguousarray(v[:, some]), np.ascontiguousarray(w[:, some])
+            mine, theirs = x["key"].to_numpy(), y["key"].to_numpy()
+            order = np.argsort(theirs, kind="stable")
+            w, theirs = w[order], theirs[order]
+            own, other = np.full(len(x), -np.inf), np.full(len(x), -np.inf)
+            for a in range(0, len(v), rows):
+                for b in range(0, len(w), rows):
+                    s, keys = v[a : a + rows] @ w[b : b + rows].T, theirs[b : b + rows]
+                    first = keys.searchsorted(mine[a : a + rows])
+                    count = keys.searchsorted(mine[a : a + rows], "right") - first
+                    i = np.repeat(np.arange(len(s)), count)
+                    j = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                    np.maximum.at(own, a + i, s[i, j])
+                    s[i, j] = -np.inf
+                    other[a : a + rows] = np.maximum(other[a : a + rows], s.max(axis=1))
+            own, other = np.round(own, 9), np.round(other, 9)
         at = x["key"] if len(own) else x["key"].slice(0, 0)
         return pa.table({"key": at, "own": pa.array(own, mask=np.isinf(own)), "other": pa.array(other, mask=np.isinf(other))})
 

@@ -405,3 +405,28 @@ def test_windows_and_arms_shuffle_the_lines_once_by_order_and_once_by_customer(s
         assert exchanges(views.arms(spark, d)) == exchanges(views.windows(spark, d)) == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_top1_in_cells_equals_the_pool(spark, monkeypatch):
+    """Cells of several products, an image without text and one without vector; components that no text has play no part."""
+    monkeypatch.setattr(retrieval, "CELL", 8)
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.normal(size=6)]) for i in range(40)]
+    images = spark.createDataFrame(rows + [(50, rows[0][1])], "key long, embedding array<double>")
+    texts = spark.createDataFrame([(k, [x if i % 2 else 0.0 for i, x in enumerate(e)]) for k, e in rows], "key long, embedding array<double>")
+    want = retrieval.top1_accuracy(images, texts, 100).first()
+    got = retrieval.top1_accuracy_in_blocks(images, texts, 3).first()
+    assert (got.top1, got.n) == (pytest.approx(want.top1), want.n) and 0 < got.top1 < 1
+
+
+def test_random_runs_hash_in_batches(spark):
+    docs = [(q, f"p{i}", [0.0, 0.01, 0.1, 1.0][(q * i) % 4]) for q in range(5) for i in range(6)]
+    runs = metrics.random_runs(spark.createDataFrame(docs, "query_id long, product_id string, gain double"), 4)
+    assert "MapInArrow" in runs._jdf.queryExecution().executedPlan().toString()
+    for r in runs.collect():
+        total = 0.0
+        for q in range(5):
+            own = sorted(((hashlib.md5(f"{metrics.SEED}:{r.trial}:{q}:{p}".encode()).hexdigest(), g) for k, p, g in docs if k == q))
+            best = sum(g / math.log2(i + 2) for i, g in enumerate(sorted((g for _, g in own), reverse=True)))
+            total += sum(g / math.log2(i + 2) for i, (_, g) in enumerate(own)) / best if best else 0.0
+        assert r.mean_ndcg == pytest.approx(total / 5, abs=1e-12)
