@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from loomrank.functions.stemming import stems
+from loomrank.functions.stemming import stem
 from loomrank.session import spread, stored
 
 from .ranking import by_query
@@ -19,6 +23,11 @@ BUCKETS, BLOCK, SHARD = 64, 128, 1 << 20
 SLACK = 1e-8
 
 
+@lru_cache(1 << 18)
+def _stem(word: str) -> str:
+    return stem(word)
+
+
 @dataclass(frozen=True)
 class Index:
     """Folders below `path`: `terms` (bucket, term, df), `blocks` (bucket, term, shard, block, top, postings) and `stats`, one row."""
@@ -35,17 +44,26 @@ class Index:
 
 
 def term_counts(frame: DataFrame, keys: list[str], text: Column, stemmed: bool) -> DataFrame:
-    """(keys, term, tf, dl) of every row, and a row of null term for each, which carries the length of rows without terms too.
+    """(keys, term, tf, dl) of every row's terms.
 
-    One function for documents and queries: a text is tokenised once, its terms are counted map-side,
-    and with stemmed the vocabulary is stemmed once and joined.
+    One function for documents and queries: a text is tokenised once and its terms are counted in its row, so nothing is
+    shuffled; with stemmed a word is stemmed once in a Python worker while a bounded memo holds it. Rows of equal keys stay apart.
     """
-    x = frame.select(*keys, term_list(text).alias("ts")).withColumn("dl", F.size("ts"))
-    x = x.select(*keys, "dl", F.explode(F.concat("ts", F.array(F.lit(None).cast("string")))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    if not stemmed:
-        return x
-    s = x.join(stems(x), "term", "left").withColumn("term", F.col("stem"))
-    return s.groupBy(*keys, "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    x = frame.select(*keys, term_list(text).alias("_ts"))
+
+    def run(batches):
+        for batch in batches:
+            row, term, tf, dl = [], [], [], []
+            for i, ts in enumerate(batch.column(len(keys)).to_pylist()):
+                n = Counter(map(_stem, ts) if stemmed else ts)
+                row += [i] * len(n)
+                dl += [len(ts)] * len(n)
+                term += n.keys()
+                tf += n.values()
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(len(keys))), pa.array(term, pa.string()), pa.array(tf, pa.int64()), pa.array(dl, pa.int32())], names=[*keys, "term", "tf", "dl"])
+
+    return x.mapInArrow(run, StructType([*(x.schema[k] for k in keys), *StructType.fromDDL("term string, tf long, dl int")]))
 
 
 def _bucket(term: Column) -> Column:
@@ -63,16 +81,15 @@ def build(docs: DataFrame, key: str, text: Column, path: str, stemmed: bool = Fa
     """
     spark = docs.sparkSession
     index = Index(path, key, docs.schema[key].dataType.simpleString(), stemmed)
-    counts = term_counts(spread(docs.select(key, text.alias("_text"))), [key], F.col("_text"), stemmed)
-    counts.write.parquet(f"{path}/counts")
-    counts = spark.read.schema(counts.schema).parquet(f"{path}/counts")
-    ends = counts.where("term IS NULL")
-    ends.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.coalesce(F.bool_and(F.col(key).isNotNull()), F.lit(True)).alias("keyed"), (F.max("tf") == 1).alias("once")).write.parquet(f"{path}/stats")
+    docs = spread(docs.select(key, text.alias("_text")))
+    ends = docs.select(key, F.size(term_list(F.col("_text"))).alias("dl"))
+    per = ends.groupBy(key).agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
+    per.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_docs"), (F.sum("dl") / F.sum("n")).alias("avgdl"), F.coalesce(F.bool_and(F.col(key).isNotNull()), F.lit(True)).alias("keyed"), (F.max("n") == 1).alias("once")).write.parquet(f"{path}/stats")
     stats = index.read(spark, "stats").first()
     if not stats.keyed or stats.once is False:
         raise ValueError(f"{key} must be given and unique")
     shards = max(1, -(-stats.n_docs // SHARD))
-    x = counts.where("term IS NOT NULL").select("term", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col(key).alias("key"),
+    x = term_counts(docs, [key], F.col("_text"), stemmed).select("term", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col(key).alias("key"),
                                                (F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(stats.avgdl or 1.0))))).alias("sat"))
     # one shuffle: the window, the blocks and the folders all follow (bucket, shard, term)
     x = x.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", "shard")
@@ -88,7 +105,7 @@ def build(docs: DataFrame, key: str, text: Column, path: str, stemmed: bool = Fa
 def weighted_terms(index: Index, queries: DataFrame, text: Column) -> tuple[DataFrame, list[int]]:
     """(query_id, bucket, term, weight), stored: the idf of each term of a query that the index knows, times how often the query has it; and the buckets of the queries' terms, the only ones that are read."""
     spark = queries.sparkSession
-    terms = stored(term_counts(queries, ["query_id"], text, index.stemmed).where("term IS NOT NULL").select("query_id", "term", F.col("tf").alias("qtf"), _bucket(F.col("term")).alias("bucket")))
+    terms = stored(term_counts(queries, ["query_id"], text, index.stemmed).groupBy("query_id", "term").agg(F.sum("tf").alias("qtf")).withColumn("bucket", _bucket(F.col("term"))))
     n = index.read(spark, "stats").first().n_docs
     buckets = [r.bucket for r in terms.select("bucket").distinct().collect()]
     x = terms.join(_pruned(index.read(spark, "terms"), buckets), ["bucket", "term"])

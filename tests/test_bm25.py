@@ -87,3 +87,11 @@ def test_index_of_nothing_and_of_bad_keys(spark, tmp_path):
     for n, bad in enumerate((d.union(d), spark.createDataFrame([(None, "ring")], d.schema))):
         with pytest.raises(ValueError):
             bm25.build(bad, "doc", F.col("text"), str(tmp_path / f"bad{n}"))
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_terms_are_counted_without_a_shuffle(spark, stemmed):
+    d = spark.createDataFrame([(1, "runs run the runs"), (2, None)], "doc long, text string")
+    got = bm25.term_counts(d, ["doc"], F.col("text"), stemmed)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == ([(1, "run", 3, 3)] if stemmed else [(1, "run", 1, 3), (1, "runs", 2, 3)])
