@@ -38,7 +38,8 @@ SIGMAS, SLACK = 4.0, 0.01
 FEW = 40  # shingles of the largest set that only a strict bound rules out
 BLOCK = 2048
 AT_ONCE = 1 << 14  # pairs that a task compares at once
-FIRST, GROWTH = 4, 32
+TOGETHER = 1024  # rows of small cells that are looked at in one go
+FIRST, GROWTH = 4, 512
 NO_ID = -(1 << 63)
 #: For each banded bucket all buckets in an order of its own.
 DONORS = np.argsort(mix64(np.arange(BANDS * ROWS * BUCKETS, dtype=U64)).reshape(-1, BUCKETS), axis=1)
@@ -162,67 +163,78 @@ def _banded(classed: DataFrame) -> DataFrame:
     return classed.select("cls", "regs").mapInArrow(run, "band long, cls binary")
 
 
+def _met(before: np.ndarray, regs: np.ndarray, root: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, part: int, whole: int):
+    """(p, q, share) of the pairs of each row p with rows q of low[p]..high[p] - 1 that may be similar enough, of two roots, and without a band of `before` in common."""
+    many = np.maximum(high - low, 0)
+    some = np.flatnonzero(many)
+    total, begin = np.cumsum(many[some]), 0
+    while begin < len(some):
+        stop = max(begin + 1, int(total.searchsorted((total[begin - 1] if begin else 0) + AT_ONCE, "right")))
+        rows, begin = some[begin:stop], stop
+        count = many[rows]
+        p, q = np.repeat(rows, count), np.arange(count.sum()) + np.repeat(low[rows] - (np.cumsum(count) - count), count)
+        ok = (root[p] != root[q]) & (whole * np.minimum(n[p], n[q]) >= part * np.maximum(n[p], n[q]))
+        p, q = p[ok], q[ok]
+        if before.shape[1]:
+            new = ~(before[p] == before[q]).any(axis=1)
+            p, q = p[new], q[new]
+        ok, share = possible(regs[p], regs[q], n[p], n[q], part / whole)
+        yield p[ok], q[ok], share[ok]
+
+
 def _cell_pairs(x: pa.Table, part: int, whole: int, most: int):
-    """Of the rows (band, i, j, main, side, root, n, cls, regs) of one cell: pairs (x, y, share, held) between roots.
+    """Of the rows (band, i, j, side, root, n, cls, regs) of whole cells: pairs (x, y, share, held) between roots.
 
-    Where i and j name one block all its rows meet, else those of one side meet those of the other.
+    Where i and j name one block all rows of the cell meet, else those of one side meet those of the other.
     A pair is looked at in the first band that its classes share. x is the class whose component has
     fewer rows in the cell; of each x the `most` pairs with the largest shares are given out, and
     held says whether more were found.
     """
-    regs, cls = matrix(x["regs"].combine_chunks()), np.array(x["cls"].to_pylist(), object)
-    root = x["root"].combine_chunks().dictionary_encode().indices.to_numpy()
-    n, side = x["n"].to_numpy(), x["side"].to_numpy()
-    alone = x["i"][0].as_py() == x["j"][0].as_py()
+    band, i, j, side = (x[c].to_numpy() for c in ("band", "i", "j", "side"))
+    cell = np.cumsum(np.append(False, (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    order = np.lexsort((np.where(i == j, 0, side), cell))
+    x, band, i, j, side, cell = x.take(pa.array(order)), band[order], i[order], j[order], side[order], cell[order]
+    regs, cls = matrix(x["regs"].combine_chunks()), x["cls"].combine_chunks()
+    root, n = x["root"].combine_chunks().dictionary_encode().indices.to_numpy(), x["n"].to_numpy()
+    size, at = len(x), np.arange(len(x))
+    end = np.searchsorted(cell, cell, "right")
+    own = np.searchsorted(2 * cell + (side != side[np.searchsorted(cell, cell)]), 2 * cell, "right")  # of two blocks, where the second begins
+    low, high = np.where(i == j, at + 1, own), np.where((i == j) | (at < own), end, 0)
     keys = bands(regs)
-    mine = int((keys == x["band"].to_numpy().view(U64)[0])[0].argmax())
-    before = np.ascontiguousarray(keys[:, :mine])
-    often = np.bincount(root)[root]
-    size = len(x)
-    first = np.flatnonzero(side == side[0]) if not alone else np.arange(size)
-    second = np.flatnonzero(side != side[0]) if not alone else first
-    best: list[tuple] = []
-    width = max(1, AT_ONCE // max(len(second), 1))
-    for at in range(0, len(first), width):
-        some = first[at : at + width]
-        p, q = np.repeat(some, len(second)), np.tile(second, len(some))
-        ok = (root[p] != root[q]) & (whole * np.minimum(n[p], n[q]) >= part * np.maximum(n[p], n[q]))
-        if alone:
-            ok &= p < q
-        p, q = p[ok], q[ok]
-        for begin in range(0, len(p), AT_ONCE):
-            a, b = p[begin : begin + AT_ONCE], q[begin : begin + AT_ONCE]
-            if mine:
-                new = ~(before[a] == before[b]).any(axis=1)
-                a, b = a[new], b[new]
-            ok, share = possible(regs[a], regs[b], n[a], n[b], part / whole)
-            best.append((a[ok], b[ok], share[ok]))
-    a, b, share = (np.concatenate([t[c] for t in best]) if best else np.zeros(0, np.int64) for c in range(3))
+    mine = (keys == band.view(U64)[:, None]).argmax(axis=1)
+    before = np.where(np.arange(mine.max()) < mine[:, None], keys[:, : mine.max()], at.astype(U64)[:, None])  # from its own band on nothing is common
+    a, b, share = (np.concatenate(c) for c in zip(*_met(before, regs, root, n, low, high, part, whole), [np.zeros(0, np.int64)] * 3))
+    _, of, count = np.unique(cell * (root.max() + 1) + root, return_inverse=True, return_counts=True)
+    often = count[of]
     swap = (often[a] > often[b]) | ((often[a] == often[b]) & (root[a] > root[b]))
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    a, b = np.where(swap, b, a).astype(np.int64), np.where(swap, a, b).astype(np.int64)
     order = np.lexsort((b, -share, a))
     a, b, share = a[order], b[order], share[order]
-    new = np.ones(len(a), bool)
-    new[1:] = a[1:] != a[:-1]
-    nth = np.arange(len(a)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(a) else np.zeros(0, np.int64)
+    new = np.append(True, a[1:] != a[:-1])[: len(a)]
+    nth = np.arange(len(a)) - np.flatnonzero(new)[np.cumsum(new) - 1]
     keep = nth < most
     held = (np.bincount(a, minlength=size) > most)[a]
     return pa.RecordBatch.from_arrays([
-        pa.array(np.full(int(keep.sum()), x["band"][0].as_py()), pa.int64()), pa.array(cls[a[keep]], pa.binary()), pa.array(cls[b[keep]], pa.binary()),
+        pa.array(band[a[keep]]), cls.take(pa.array(a[keep])), cls.take(pa.array(b[keep])),
         pa.array(share[keep].astype(np.float64)), pa.array(held[keep])], names=["band", "x", "y", "share", "held"])
 
 
 def _pairs_of_cells(batches, part: int, whole: int, most: int):
-    """Rows in order of (band, i, j); a cell holds at most two blocks."""
+    """Rows in order of (band, i, j); a cell holds at most two blocks, and small cells are looked at together."""
     held = None
     for batch in batches:
         x = pa.Table.from_batches([batch])
         x = x if held is None else pa.concat_tables([held, x])
         names = np.stack([x[c].to_numpy() for c in ("band", "i", "j")])
         edge = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1
+        begin = 0
         for a, b in zip([0, *edge[:-1]], edge):
-            if b - a > 1:
-                yield _cell_pairs(x.slice(a, b - a), part, whole, most)
+            if b - begin > TOGETHER:
+                if a > begin:
+                    yield _cell_pairs(x.slice(begin, a - begin), part, whole, most)
+                begin = a
+        if len(edge) and edge[-1] > begin:
+            yield _cell_pairs(x.slice(begin, edge[-1] - begin), part, whole, most)
         held = x.slice(edge[-1] if len(edge) else 0)
     if held is not None and len(held) > 1:
         yield _cell_pairs(held, part, whole, most)
@@ -349,8 +361,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 10
         new = written(found.where(F.col("nth") <= most).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(merged(tried), ["a", "b"], "left_anti"))
         if not new.isEmpty():
             links.append(_verified(new, docs, classed, k, part, whole, key, text))
-            release(roots)
-            roots = components(reduce(DataFrame.union, links))
+            if not links[-1].isEmpty():
+                release(roots)
+                roots = components(reduce(DataFrame.union, links))
         scratch += [found, new, links[-1]]
         held = written(found.where((F.col("nth") > most) | F.col("held")).select("band").distinct())
         scratch.append(held)

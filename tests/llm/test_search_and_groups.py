@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,36 @@ def test_a_family_of_strays_is_compared_in_full_within_bounded_rounds(spark, mon
     assert got == brute(texts, 3, 85, 100)
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_small_cells_are_looked_at_together(monkeypatch, blocks):
+    rng = np.random.default_rng(4)
+    texts = list({" ".join(f"w{family}x{i if rng.random() > 0.04 else rng.integers(1000, 9999)}" for i in range(60)) for family in range(150) for _ in range(3)})
+    s, off = minhash.sets(pa.array(texts), 3)
+    cls, regs, n = minhash.classes(s, off), minhash.registers(s, off), np.diff(off)
+    keys = minhash.bands(regs)
+    rows = sorted((int(key.view(np.int64)), i) for i in range(len(texts)) for key in keys[i])
+    one = lambda values, kind: pa.array(values, kind)
+    at = [i for _, i in rows]
+    side = [i % blocks for i in at]
+    table = pa.table({"band": one([b for b, _ in rows], pa.int64()), "i": one([0] * len(rows), pa.int32()), "j": one([blocks - 1] * len(rows), pa.int32()), "side": one(side, pa.int32()),
+                      "root": one([cls[i] for i in at], pa.binary()), "n": one(n[at], pa.int64()), "cls": one([cls[i] for i in at], pa.binary()), "regs": one([regs[i].tobytes() for i in at], pa.binary())})
+    calls, made = [], minhash.bands
+    monkeypatch.setattr(minhash, "bands", lambda x: calls.append(len(x)) or made(x))
+    found = [(b, frozenset((x, y))) for out in minhash._pairs_of_cells(table.to_batches(max_chunksize=500), 50, 100, 99) for b, x, y in zip(*(out.column(c).to_pylist() for c in range(3)))]
+    members = {}
+    for b, i in rows:
+        members.setdefault(b, []).append(i)
+    want, seen = set(), set()
+    for j in range(minhash.BANDS):
+        for b in np.unique(keys[:, j].view(np.int64)):
+            for p, q in ((p, q) for p in members[int(b)] for q in members[int(b)] if p < q and (blocks == 1 or p % 2 != q % 2) and (p, q) not in seen):
+                seen.add((p, q))
+                if 100 * min(n[p], n[q]) >= 50 * max(n[p], n[q]) and minhash.possible(regs[[p]], regs[[q]], n[[p]], n[[q]], 0.5)[0][0]:
+                    want.add((int(b), frozenset((cls[p], cls[q]))))
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
+    assert len(calls) < len(members) / 10  # once a cell before
+
+
 def test_many_equal_rows_give_as_many_rows(spark):
     t = " ".join(map(str, range(40)))
     docs = spark.createDataFrame([(1, t)] * 300 + [(2, t + " more")] * 300 + [(None, t + " else")] * 300, "doc_id long, text string")
