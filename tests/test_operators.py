@@ -392,6 +392,16 @@ def test_arms_in_one_pass_equal_each_alone(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_a_task_gets_a_bounded_number_of_lines(spark, monkeypatch):
+    from loomrank.plans import views
+
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(views, "TASK_ROWS", 100)
+    n = -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 100)
+    assert n > spark.sparkContext.defaultParallelism
+    assert views.judgements(spark, d).rdd.getNumPartitions() == n  # adaptive execution joined partitions by their bytes before
+
+
 def test_windows_and_arms_shuffle_the_lines_once_by_order_and_once_by_customer(spark):
     from loomrank.plans import views
 
