@@ -392,6 +392,14 @@ def test_arms_in_one_pass_equal_each_alone(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_a_spliced_run_is_dealt_to_the_tasks_it_is_told(spark):
+    docs = spark.createDataFrame([(q, f"p{i}", float(-i)) for q in range(9) for i in range(5)], "query_id long, product_id string, stage2_score double")
+    order = spark.createDataFrame([(q, f"p{i}", 3 - i) for q in range(0, 9, 2) for i in range(3)], "query_id long, product_id string, position int")
+    run = lambda *n: ranking.spliced_run(ranking.top_window(docs, 3), order, *n).select("query_id", "product_id", "run_score")
+    assert run(37).rdd.getNumPartitions() == 37  # no such argument before; adaptive execution joined partitions by their bytes
+    assert sorted(run(37).collect()) == sorted(run().collect())
+
+
 def test_a_task_gets_a_bounded_number_of_lines(spark, monkeypatch):
     from loomrank.plans import views
 
