@@ -161,3 +161,23 @@ def test_cross_fit_never_scores_what_it_saw(spark, frame):
 def test_gradients_join_nothing(spark, frame):
     plan = boosting.lambda_gradients(frame.withColumn("score", F.col("noise")), keep=["signal"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("objective", boosting.OBJECTIVES)
+def test_validation_is_the_same_in_any_order(spark, objective):
+    """Over other tasks and orders of the same rows, to the last bit."""
+    r = np.random.default_rng(11)
+    rows = [(q, f"p{i}", int(c), GAINS[c] * (1e15 if objective == "regression" else 1), *map(float, r.normal(size=4))) for q in range(3000) for i, c in enumerate(r.integers(0, 4, 3))]
+    kind = "query_id long, product_id string, label_code int, gain double, _s0 double, _s1 double, _s2 double, _s3 double"
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    got = set()
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (1, 2, 3, 5, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            some = [rows[i] for i in np.random.default_rng(parts).permutation(len(rows))]
+            got.add(boosting._validation(spark.createDataFrame(some, kind).repartition(parts), objective, 4))
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    assert len(got) == 1
