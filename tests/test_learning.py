@@ -4,6 +4,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -163,6 +164,44 @@ def test_gradients_join_nothing(spark, frame):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_gradients_in_chunks(spark, monkeypatch):
+    """Lists longer and shorter than a chunk, tied, missing and equal gains and scores, against plain loops."""
+    r = np.random.default_rng(3)
+    rows = [(q, f"p{i}", [None, 0.0, 0.01, 0.1, 1.0][r.integers(5)] if q else 0.5, float(r.integers(-2, 3)), i) for q in range(7) for i in range(2 + 3 * q)]
+    frame = spark.createDataFrame(rows, "query_id long, product_id string, gain double, score double, n int")
+    got = {(x.query_id, x.product_id): (x.g, x.h, x.n) for x in boosting.lambda_gradients(frame, keep=["n"]).collect()}
+    want = {}
+    for q in range(7):
+        one = [x for x in rows if x[0] == q]
+        share = {x[1]: 1 / math.log2(i + 2) for i, x in enumerate(sorted(one, key=lambda x: (-x[3], x[1])))}
+        best = sum(g / math.log2(i + 2) for i, g in enumerate(sorted((x[2] for x in one if x[2] is not None), reverse=True)))
+        for a in one:
+            g, h, pairs = 0.0, 0.0, 0
+            for b in one:
+                if a[2] is not None and b[2] is not None and a[2] != b[2]:
+                    swap, sign = abs((a[2] - b[2]) * (share[a[1]] - share[b[1]])) / best, 1 if a[2] > b[2] else -1
+                    wrong = 1 / (1 + math.exp(sign * (a[3] - b[3])))
+                    g, h, pairs = g + sign * swap * wrong, h + swap * wrong * (1 - wrong), pairs + 1
+            if pairs:
+                want[q, a[1]] = (g, h, a[4])
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    lists = [pa.array([[x[c] for x in rows if x[0] == q] for q in range(7)]) for c in (1, 3, 2)]
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(boosting, "PAIRS", size)
+        each = boosting._list_derivatives(*lists).flatten().to_pylist()
+        assert {(x[0], x[1]): (y["g"], y["h"], x[4]) for x, y in zip(rows, each) if y} == got
+
+
+def test_pairs_are_met_once_a_round(spark, frame, monkeypatch):
+    seen, met = spark.sparkContext.accumulator(0), boosting.lambda_gradients
+    count = F.udf(lambda g: seen.add(1) or True, "boolean")
+    monkeypatch.setattr(boosting, "lambda_gradients", lambda *a, **k: met(*a, **k).where(count("g")))
+    train = frame.where("fold > 1")
+    rows = met(train.withColumn("score", F.lit(0.0))).count()
+    boosting.train(train, frame.where("fold = 1"), ["signal"], settings=FEW | {"rounds": 1})
+    assert seen.value == rows
+
+
 @pytest.mark.parametrize("objective", boosting.OBJECTIVES)
 def test_validation_is_the_same_in_any_order(spark, objective):
     """Over other tasks and orders of the same rows, to the last bit."""
